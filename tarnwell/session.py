@@ -60,3 +60,16 @@ def drop_written(df: DataFrame) -> None:
         if f.startswith(root) or f.replace("file:///", "file:/").startswith(root.replace("file:///", "file:/")):
             p = jvm.org.apache.hadoop.fs.Path(f)
             p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def ship(spark: SparkSession) -> None:
+    """Gives the executors this package, once a session, so that nothing depends on their PYTHONPATH."""
+    sc = spark.sparkContext
+    if getattr(sc, "_tarnwell_shipped", False):
+        return
+    import shutil
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    target = os.path.join(tempfile.mkdtemp(prefix="tarnwell-"), "tarnwell")
+    sc.addPyFile(shutil.make_archive(target, "zip", root, "tarnwell"))
+    sc._tarnwell_shipped = True
