@@ -7,8 +7,41 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnwell.llm import encode, pack, split
-from tarnwell.sources.tables import once, table
+from tarnwell.llm import cluster, encode, pack, split, vectors
+from tarnwell.sources.tables import project_slug, table
+
+
+def _groups(spark: SparkSession, folder: str) -> DataFrame:
+    chunks = table(spark, folder, "chunks").select("id", project_slug(F.col("project")).alias("project"), "embedding")
+    return cluster.cluster(chunks)
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Chunks filed under a project foreign to their group."""
+    return cluster.misfiled(_groups(spark, folder)).withColumnRenamed("id", "chunk_id")
+
+
+def p4_typical(spark: SparkSession, folder: str) -> DataFrame:
+    """Each group with its size and its five most typical chunks."""
+    return cluster.typical(_groups(spark, folder))
+
+
+def _both(spark: SparkSession, folder: str) -> DataFrame:
+    kinds = (("chunk", "chunks"), ("entity", "graph_entities"))
+    a, b = (table(spark, folder, t).select("id", F.lit(kind).alias("kind"), "embedding") for kind, t in kinds)
+    return a.unionByName(b)
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs among each other's 10 most similar with a cosine of 0.95 or more, by the shifted curves."""
+    near = vectors.knn(_both(spark, folder), "id", "embedding", "kind", k=10, floor=0.95)
+    return vectors.mutual(near).withColumnRenamed("space", "kind")
+
+
+def p6_knn(spark: SparkSession, folder: str) -> DataFrame:
+    """The 10 most similar of every row whose id is divisible by 50, against all rows."""
+    near = vectors.knn(_both(spark, folder), "id", "embedding", "kind", k=10, curves=8, block=512, span=2, query_every=50)
+    return near.select(F.col("space").alias("kind"), "id_a", "id_b", F.round("cos", 4).alias("cos"), "rank")
 
 
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
