@@ -7,10 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnwell.llm import cluster, encode, pack, split, vectors
+from tarnwell.llm import cluster, encode, history, pack, split, vectors
 from tarnwell.sources.tables import project_slug, table
 
 
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Sources that repeat an earlier one, with the earliest source of their body.
+
+    The newest day comes in as a batch of its own, against the runs of all days before it.
+    """
+    sources = table(spark, folder, "sources")
+    newest = sources.agg(F.date_trunc("day", F.max("ingest_ts")).cast("timestamp_ntz").alias("d")).first()["d"]
+    found = history.against_history(sources, table(spark, folder, "chunks"), [newest] if newest else None)
+    return found.select(F.least("id", "first").alias("source_id_a"), F.greatest("id", "first").alias("source_id_b")).distinct()
+
+
 def _groups(spark: SparkSession, folder: str) -> DataFrame:
     chunks = table(spark, folder, "chunks").select("id", project_slug(F.col("project")).alias("project"), "embedding")
     return cluster.cluster(chunks)
