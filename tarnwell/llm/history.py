@@ -26,10 +26,12 @@ from pyspark.sql import Window as W
 from tarnwell.llm.components import components
 from tarnwell.session import shared_folder, written
 
-KEYS, CHAIN, SHINGLE = 20, 3, 5
+KEYS, CHAIN, SHINGLE = 24, 3, 5
+#: Bins of the word histogram, which bounds what two bodies can share.
+BINS = 256
 #: Fixed value: SHA-256 of nothing.
 EMPTY = "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
-PRINTS = "id long, ts timestamp_ntz, raw string, words_hash string, n_words int, words binary, keys binary"
+PRINTS = "id long, ts timestamp_ntz, raw string, words_hash string, n_words int, words binary, keys binary, bins binary"
 
 
 class _Words(dict):
@@ -81,6 +83,11 @@ def sort_keys(w: np.ndarray) -> np.ndarray:
     return out
 
 
+def histogram(w: np.ndarray) -> np.ndarray:
+    """Counts of the words by hash, up to 255: the smaller counts of two bodies add up to no less than they share."""
+    return np.minimum(np.bincount((w * np.uint32(2654435761)) >> np.uint32(24), minlength=BINS), 255).astype(np.uint8)
+
+
 def fingerprints(sources: DataFrame, chunks: DataFrame) -> DataFrame:
     """The fingerprint of each source (see ``PRINTS``), re-delivered rows once.
 
@@ -99,7 +106,7 @@ def fingerprints(sources: DataFrame, chunks: DataFrame) -> DataFrame:
 
         _, _, digest, *_ = _tools()
         for b in batches:
-            raws, hashes, ns, words, keys = [], [], [], [], []
+            raws, hashes, ns, words, keys, bins = [], [], [], [], [], []
             for given, body in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
                 w = words_of(body) if body else np.empty(0, np.uint32)
                 blank = body is not None and not body.strip()
@@ -109,7 +116,8 @@ def fingerprints(sources: DataFrame, chunks: DataFrame) -> DataFrame:
                 hashes.append(digest(w.tobytes()) if len(w) else None)
                 words.append(w.tobytes() if len(w) else None)
                 keys.append(sort_keys(w).tobytes() if len(w) else None)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(raws, pa.string()), pa.array(hashes, pa.string()), pa.array(ns, pa.int32()), pa.array(words, pa.binary()), pa.array(keys, pa.binary())], names=["id", "ts", "raw", "words_hash", "n_words", "words", "keys"])
+                bins.append(histogram(w).tobytes() if len(w) else None)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(raws, pa.string()), pa.array(hashes, pa.string()), pa.array(ns, pa.int32()), pa.array(words, pa.binary()), pa.array(keys, pa.binary()), pa.array(bins, pa.binary())], names=["id", "ts", "raw", "words_hash", "n_words", "words", "keys", "bins"])
 
     return joined.mapInArrow(run, PRINTS)
 
@@ -178,26 +186,35 @@ def entries(prints: DataFrame) -> DataFrame:
     return prints.where("keys is not null").select("id", "keys").mapInArrow(run, "key_no int, k0 long, k1 long, k2 long, id long")
 
 
-def windows(merged: DataFrame, window: int) -> DataFrame:
-    """(a, b): a new record and one of the ``window`` records before or after it in a sorted run that share its first key."""
+def windows(merged: DataFrame, window: int, agree: int = 2) -> DataFrame:
+    """(a, b): a new record and one of the ``window`` records before or after it in the sorted runs of ``agree`` keys, the first of the chain being equal."""
     by = W.partitionBy("key_no", "k0").orderBy("k1", "k2", "id")
     before = [F.struct(F.lag("id", d).over(by).alias("id"), F.lag("new", d).over(by).alias("new")) for d in range(1, window + 1)]
     around = merged.withColumn("around", F.array(*before)).where("around[0].id is not null")
     pair = around.select("id", "new", F.explode("around").alias("o")).where("o.id is not null and (new or o.new) and o.id != id")
-    return pair.select(F.least("id", "o.id").alias("a"), F.greatest("id", "o.id").alias("b")).distinct()
+    return pair.groupBy(F.least("id", "o.id").alias("a"), F.greatest("id", "o.id").alias("b")).agg(F.count("*").alias("n")).where(F.col("n") >= agree).select("a", "b")
 
 
 def verified(pairs: DataFrame, prints: DataFrame, share: float) -> DataFrame:
-    """The pairs (a, b) whose whole bodies repeat each other."""
-    w = prints.select("id", "words", "n_words")
-    sizes = w.select("id", "n_words")
-    # lengths first: they rule out most chance pairs before any words move
-    near = (
-        pairs.join(sizes.select(F.col("id").alias("a"), F.col("n_words").alias("na")), "a")
-        .join(sizes.select(F.col("id").alias("b"), F.col("n_words").alias("nb")), "b")
-        .where((F.least("na", "nb") >= share * F.greatest("na", "nb") - 1e-9))
-        .select("a", "b")
-    )
+    """The pairs (a, b) whose whole bodies repeat each other.
+
+    The histograms come first: they rule out most chance pairs, and never a true one, before any words move.
+    """
+    h = prints.select("id", "n_words", "bins")
+    known = pairs.join(h.select(F.col("id").alias("a"), F.col("n_words").alias("na"), F.col("bins").alias("ha")), "a").join(h.select(F.col("id").alias("b"), F.col("n_words").alias("nb"), F.col("bins").alias("hb")), "b")
+    close = known.where(F.least("na", "nb") >= share * F.greatest("na", "nb") - 1e-9)
+
+    def possible(batches):
+        for b in batches:
+            if b.num_rows:
+                x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint8).reshape(-1, BINS) for i in (4, 5))
+                longer = np.maximum(b.column(2).to_numpy(), b.column(3).to_numpy())
+                full = (x.max(axis=1) == 255) | (y.max(axis=1) == 255)
+                keep = pa.array(full | (np.minimum(x, y).sum(axis=1, dtype=np.int64) >= share * longer - 1e-9))
+                yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], names=["a", "b"])
+
+    near = close.select("a", "b", "na", "nb", "ha", "hb").mapInArrow(possible, "a long, b long")
+    w = prints.select("id", "words")
     both = near.join(w.select(F.col("id").alias("a"), F.col("words").alias("wa")), "a").join(w.select(F.col("id").alias("b"), F.col("words").alias("wb")), "b")
 
     def run(batches):
@@ -279,7 +296,7 @@ class History:
         heads = written(heads.select("cls", F.least("first", "old", "late").alias("first"), F.coalesce("old_rep", "body.id").alias("rep"), (F.col("old_rep").isNull() & F.col("body").isNotNull()).alias("fresh")), "heads")
         # only the first body of a new class enters the runs
         fresh = new.join(heads.where("fresh").select(F.col("rep").alias("id")), "id", "left_semi")
-        prints = self._put(fresh.select("id", "n_words", "words"), "prints")
+        prints = self._put(fresh.select("id", "n_words", "words", "bins"), "prints")
         run = entries(fresh)
         run = self._put(run.repartitionByRange("key_no", "k0").sortWithinPartitions("key_no", "k0", "k1", "k2", "id"), "runs")
         merged = run.withColumn("new", F.lit(True))
