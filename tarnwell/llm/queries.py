@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnwell.llm import cluster, encode, history, pack, split, vectors
+from tarnwell.llm import boilerplate, cluster, encode, history, pack, split, vectors
 from tarnwell.sources.tables import project_slug, table
 
 
@@ -37,6 +37,11 @@ def p4_typical(spark: SparkSession, folder: str) -> DataFrame:
     return cluster.typical(_groups(spark, folder))
 
 
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    """The lines of every page that aren't part of its article."""
+    return boilerplate.furniture(table(spark, folder, "synthetic_searcher_1"))
+
+
 def _both(spark: SparkSession, folder: str) -> DataFrame:
     kinds = (("chunk", "chunks"), ("entity", "graph_entities"))
     a, b = (table(spark, folder, t).select("id", F.lit(kind).alias("kind"), "embedding") for kind, t in kinds)
