@@ -7,25 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tarnwell.plans import drift  # noqa: F401  (registers its queries)
+from tarnwell.plans.registry import QUERIES, SQL, query
 from tarnwell.sources.tables import table
 
 FLAGSHIP = "vector_topk"
-_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Registers a query under its name, with its SQL."""
-
-    def put(f):
-        _QUERIES[f.__name__] = f
-        if sql:
-            _SQL[f.__name__] = sql
-        return f
-
-    return put
-
-
 def cosine(a, b):
     """Cosine of two arrays of one length, 0 where a norm is 0."""
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
@@ -42,8 +28,8 @@ def vector_topk(spark, folder):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_QUERIES)
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return dict(SQL)
