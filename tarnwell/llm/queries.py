@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnwell.llm import boilerplate, cluster, encode, history, pack, split, vectors
+from tarnwell.llm import boilerplate, cluster, encode, history, pack, reading, split, vectors
 from tarnwell.sources.tables import project_slug, table
 
 
@@ -80,6 +80,13 @@ def p9_containers(spark: SparkSession, folder: str) -> DataFrame:
     return pack.pack(encode.token_counts(table(spark, folder, "documents")))
 
 
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    """The band of each English document, on the raters' scale."""
+    docs = table(spark, folder, "documents").where("lang = 'en'").select("doc_id", "text")
+    curves = reading.fit(docs, table(spark, folder, "reading_labels"))
+    return reading.levels(docs, curves).select("doc_id", "band")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = globals()
     return {k: own[k] for k in sorted(own) if k[0] == "p" and k[1:2].isdigit()}
