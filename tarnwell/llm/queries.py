@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnwell.llm import boilerplate, cluster, encode, history, pack, reading, split, vectors
+from tarnwell.llm import boilerplate, cluster, encode, history, names, pack, reading, split, vectors
 from tarnwell.sources.tables import project_slug, table
 
 
@@ -22,6 +22,12 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(F.least("id", "first").alias("source_id_a"), F.greatest("id", "first").alias("source_id_b")).distinct()
 
 
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of rows that name the same person or organisation."""
+    clusters = names.link(table(spark, folder, "graph_entities"))
+    return names.linked_pairs(clusters).select(F.col("a").alias("entity_id_a"), F.col("b").alias("entity_id_b"))
+
+
 def _groups(spark: SparkSession, folder: str) -> DataFrame:
     chunks = table(spark, folder, "chunks").select("id", project_slug(F.col("project")).alias("project"), "embedding")
     return cluster.cluster(chunks)
