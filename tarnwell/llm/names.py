@@ -64,6 +64,11 @@ def plain(text: str) -> str:
     return t.lower().translate(_SPECIAL)
 
 
+def seen_as(word: str) -> str:
+    """The word with letters that a scanner confuses made one."""
+    return word.replace("rn", "m").replace("vv", "w")
+
+
 def distance(a: str, b: str, most: int) -> int:
     """Optimal string alignment distance (a swap of neighbours is one edit), ``most`` + 1 if above ``most``."""
     if abs(len(a) - len(b)) > most:
@@ -200,7 +205,7 @@ def given_fits(form: str, full: str) -> bool:
         return True
     if len(form) >= 3 and len(full) > len(form) and full.startswith(form):
         return True
-    return len(form) >= 4 and len(full) >= 4 and form not in nick and distance(form, full, 1) <= 1
+    return len(form) >= 4 and len(full) >= 4 and form not in nick and (distance(form, full, 1) <= 1 or seen_as(form) == seen_as(full))
 
 
 def _kind_of(w: str) -> str:
@@ -340,27 +345,32 @@ def link(entities: DataFrame, key: str = "id", name: str = "name", common: int =
     forms = written(rows.groupBy("name").agg(F.count("*").alias("weight")).select("name").mapInArrow(read, "name string, kind string, option int, anchor string, rest array<string>"), "forms")
     # which token is the given name: given names go with many surnames, surnames with few given names
     sure = forms.where("kind = 'person' and size(rest) > 0").select("name", F.col("anchor").alias("s"), F.col("rest")[0].alias("g")).where("char_length(g) > 2")
-    partners = sure.select(F.col("g").alias("t"), F.col("s").alias("o")).groupBy("t").agg(F.count_distinct("o").alias("as_given"))
+    partners = written(sure.select(F.col("g").alias("t"), F.col("s").alias("o")).groupBy("t").agg(F.count_distinct("o").alias("n")), "partners")
+    # a slip or a short form of a given name counts as much as the name
+    slips = trie_join(partners.select(F.col("t").alias("word")))
+    either = slips.unionByName(slips.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    starts = partners.select(F.col("t").alias("b"), F.explode(F.expr("transform(sequence(3, greatest(3, char_length(t) - 1)), k -> left(t, k))")).alias("a")).where("a != b")
+    kin = written(either.unionByName(starts).join(partners.select(F.col("t").alias("b"), F.col("n").alias("nb")), "b").groupBy(F.col("a").alias("t")).agg(F.max("nb").alias("nb")).join(partners.select("t"), "t", "left_semi"), "kin")
+    worth = partners.join(kin, "t", "left").select(F.col("t").alias("anchor"), F.greatest("n", F.coalesce("nb", F.lit(0))).alias("as_given"))
+    short = sorted(set(NICKNAMES) | set(_short()[0]))
     ranked = (
-        forms.where("kind = 'person'").join(partners.withColumnRenamed("t", "anchor"), "anchor", "left")
-        .select("name", "kind", "option", "anchor", "rest", F.coalesce("as_given", F.lit(0)).alias("n"))
+        forms.where("kind = 'person'").join(worth, "anchor", "left")
+        .select("name", "kind", "option", "anchor", "rest", (F.coalesce("as_given", F.lit(0)) + F.when(F.col("anchor").isin(short), 1_000_000).otherwise(0)).alias("n"))
     )
     one = ranked.withColumn("r", F.row_number().over(W.partitionBy("name").orderBy("n", "option"))).where("r = 1").select("name", "kind", "anchor", "rest")
     people = written(one, "people")
     seen = written(people.where("size(rest) > 0 and char_length(rest[0]) > 2").groupBy(F.col("rest")[0].alias("g")).agg(F.count_distinct("anchor").alias("n")), "given")
     # a token that is the start of a much commoner one, or a slip away from it, is no given name in full
-    slips = trie_join(seen.select(F.col("g").alias("word")))
-    either = slips.unionByName(slips.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    starts = seen.select(F.col("g").alias("b"), F.explode(F.expr("transform(sequence(3, greatest(3, char_length(g) - 1)), k -> left(g, k))")).alias("a")).where("a != b")
-    rival = either.unionByName(starts).join(seen.select(F.col("g").alias("b"), F.col("n").alias("nb")), "b").groupBy(F.col("a").alias("g")).agg(F.max("nb").alias("nb"))
-    given = written(seen.where(F.col("n") >= common).join(rival, "g", "left").where(F.coalesce("nb", F.lit(0)) < 4 * F.col("n")).select("g"), "given")
+    given = written(seen.where(F.col("n") >= common).join(kin.withColumnRenamed("t", "g"), "g", "left").where(F.coalesce("nb", F.lit(0)) < 4 * F.col("n")).select("g"), "given")
     every = people.unionByName(forms.where("kind = 'org'").select("name", "kind", "anchor", "rest"))
     anchors = every.select("kind", "anchor").distinct()
     ids = written(anchors.select("kind", "anchor", F.xxhash64("kind", "anchor").alias("aid")), "anchors")
-    near = None
+    alike = F.regexp_replace(F.regexp_replace("anchor", "rn", "m"), "vv", "w")
+    scanned = ids.withColumn("alike", alike).withColumn("first", F.min("aid").over(W.partitionBy("kind", "alike"))).where("first != aid").select(F.col("first").alias("a"), F.col("aid").alias("b"))
+    near = scanned
     for k in ("person", "org"):
         p = trie_join(ids.where(F.col("kind") == k).select(F.col("anchor").alias("word"))).select(F.xxhash64(F.lit(k), "a").alias("a"), F.xxhash64(F.lit(k), "b").alias("b"))
-        near = p if near is None else near.unionByName(p)
+        near = near.unionByName(p)
     label = components(near)
     block = ids.join(label, ids.aid == label.id, "left").select("kind", "anchor", F.coalesce("label", "aid").alias("block"))
     known = every.join(block, ["kind", "anchor"]).join(given.withColumnRenamed("g", "first").withColumn("common", F.lit(True)), F.col("rest")[0] == F.col("first"), "left").select("block", "kind", "name", "anchor", "rest", F.coalesce("common", F.lit(False)).alias("common"))
