@@ -1,30 +1,15 @@
-"""The queries of the library, each with the SQL that says the same."""
+"""All queries of the library, each with the SQL that says the same."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from tarnwell.plans import drift  # noqa: F401  (registers its queries)
-from tarnwell.plans.registry import QUERIES, SQL, query
-from tarnwell.sources.tables import table
-
-FLAGSHIP = "vector_topk"
-def cosine(a, b):
-    """Cosine of two arrays of one length, 0 where a norm is 0."""
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    norm = F.sqrt(dot(a, a) * dot(b, b))
-    return F.when(norm == 0, F.lit(0.0)).otherwise(dot(a, b) / norm)
-
-
-@query("""SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)), 6) AS score
-    FROM embeddings ORDER BY score DESC, vec_id LIMIT 10""")
-def vector_topk(spark, folder):
-    e = table(spark, folder, "embeddings")
-    q = e.where("vec_id = 0").select(F.col("embedding").alias("q"))
-    return e.crossJoin(F.broadcast(q)).select("vec_id", F.round(cosine(F.col("embedding"), F.col("q")), 6).alias("score")).orderBy(F.desc("score"), "vec_id").limit(10)
+
+from tarnwell.plans import drift, knowledge, retrieval  # noqa: F401  (they register their queries)
+from tarnwell.plans.registry import QUERIES, SQL
+
+FLAGSHIP = "hybrid_search"
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
