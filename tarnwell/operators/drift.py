@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from tarnwell.session import written
+
 #: Names under which the canonical fields are known. The first of each is the canonical one.
 ROLES = {
     "chunk_id": ["chunk_id", "id", "chunkId", "cid", "passage_id", "chunk_key", "ref"],
@@ -92,7 +94,7 @@ def changes(raw: DataFrame) -> DataFrame:
     change is added, removed, renamed (``before`` holds the old name) or retyped (``before`` holds the old type).
     The first file of a searcher has no changes; files without any readable record count as absent.
     """
-    s = sequence(profiles(fields(records(raw))))
+    s = written(sequence(profiles(fields(records(raw)))), "profiles")  # read several times below; the payloads are parsed once
     files = s.select("searcher", "seq", "file_name").distinct()
     new = s.select("searcher", "seq", "field", F.col("type").alias("t1"), F.col("role").alias("r1"), F.lit(True).alias("in_new"))
     old = s.select("searcher", (F.col("seq") + 1).alias("seq"), "field", F.col("type").alias("t0"), F.col("role").alias("r0"), F.lit(True).alias("in_old"))
