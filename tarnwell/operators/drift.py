@@ -73,7 +73,7 @@ def profiles(f: DataFrame) -> DataFrame:
     named = F.create_map(*[F.lit(x) for role, names in ROLES.items() for n in names for x in (n, role)])
     seen = f.withColumn("looks", _looks(F.col("value"), F.col("type")))
     p = seen.groupBy("searcher", "file_name", "field").agg(
-        F.min("written_ts").alias("written_ts"), F.mode("type", deterministic=True).alias("type"), F.mode("looks", deterministic=True).alias("looks"), (F.count("looks") / F.count("type")).alias("sure")
+        F.min("written_ts").alias("written_ts"), F.mode("type", deterministic=True).alias("type"), F.mode("looks", deterministic=True).alias("looks"), F.try_divide(F.count("looks"), F.count("type")).alias("sure")
     )
     known = F.try_element_at(named, F.col("field"))
     # the form decides for names nobody knows; of known names only if every value agrees
