@@ -4,8 +4,10 @@ Texts of up to ``window`` code points are encoded where they lie, without a shuf
 overlapping windows that are pre-tokenised in parallel. Neighbouring windows are stitched at the first boundary
 of pre-tokens that both found in their overlap: from a common boundary on, the pattern's matches depend on the
 following text alone, so both would go on alike. The pieces between the stitches are then encoded in parallel and
-their ids put together in order. Where an overlap has no common boundary (one endless run of letters), the two
-windows stay one piece, so the result is that of encoding the text whole in every case.
+their ids put together in order. Only boundaries that hold whatever came before count, such as that between a word
+and white space: a window may begin amid a run, and what it makes of that run's end proves nothing. Where an overlap
+has no such common boundary (one endless run of letters), the two windows stay one piece, so the result is that of
+encoding the text whole in every case.
 """
 
 from __future__ import annotations
@@ -40,12 +42,18 @@ def encoder(path: str):
 def _pattern():
     import regex
 
-    return regex.compile(PATTERN)
+    # white space by its Unicode property, as the encoder has it
+    own = regex.compile(PATTERN.replace(r"[^\s", r"[^\p{White_Space}").replace(r"\S", r"\P{White_Space}").replace(r"\s", r"\p{White_Space}"))
+    sp = r"\p{White_Space}"
+    sure = regex.compile(rf"(?<=[^{sp}'])(?={sp})|(?<=\p{{L}})(?=[^\p{{L}}{sp}])|(?<=\p{{N}})(?=[^\p{{N}}{sp}])|(?<=[^{sp}\p{{L}}\p{{N}}'])(?=[\p{{L}}\p{{N}}])")
+    return own, sure
 
 
 def boundaries(text: str) -> list[int]:
-    """Starts of the pre-tokens of ``text``, and its length."""
-    return [m.start() for m in _pattern().finditer(text)] + [len(text)]
+    """Starts of the pre-tokens of ``text`` that would be starts after any other text before it."""
+    own, sure = _pattern()
+    certain = {m.start() for m in sure.finditer(text)}
+    return [m.start() for m in own.finditer(text) if m.start() in certain]
 
 
 def _ids_array(texts: list[str | None], path: str) -> pa.ListArray:
@@ -87,7 +95,7 @@ def long_text_pieces(df: DataFrame, key: str, text: str, window: int, overlap: i
                 own = [start + x for x in boundaries(part)]
                 end = start + len(part)
                 if end < n_:
-                    own = own[:-3]  # what touches the end of the window may go on beyond it
+                    own = [x for x in own if x < end - 2]  # what touches the end of the window may go on beyond it
                 at, to = j * window, (j + 1) * window
                 head = [x for x in own if at - overlap <= x <= at + overlap] if j else []
                 tail = [x for x in own if to - overlap <= x <= to + overlap] if end < n_ else []
