@@ -110,3 +110,10 @@ def substitutes(v: DataFrame, chunks: DataFrame, scope: str, cfg: RetrievalConfi
         return claim.str.lower().combine(text.str.lower(), lambda x, y: int(partial_ratio(x, y)) >= cfg.fuzzy_pass).astype(bool)
 
     return pairs.where(passes("claim", "_t")).groupBy(scope, "position", "chunk_id").agg(F.min("other").alias("other"))
+
+
+def parse_verdicts(df: DataFrame, text: str, expected: str) -> DataFrame:
+    """Adds verdicts, the judge's array between BEGIN_VERDICTS and END_VERDICTS, null unless it has as many as ``expected``."""
+    raw = F.regexp_extract(text, r"(?s)BEGIN_VERDICTS\s*(.*?)\s*END_VERDICTS", 1)
+    got = F.from_json(raw, "array<struct<id: int, verdict: string, rationale: string>>")
+    return df.withColumn("verdicts", F.when(F.size(got) == F.col(expected), got))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -37,3 +37,30 @@ def drops(runs: DataFrame, order: str, columns: list[str], least: float = 0.05)
     for c in columns:
         out = out.withColumn(f"_{c}", F.coalesce(F.lag(c).over(w), F.lit(0.0)) - F.coalesce(F.col(c), F.lit(0.0)))
     return out.select(order, F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(f"_{c}").alias("fall")) for c in columns])).alias("m")).select(order, "m.metric", "m.fall").where(F.col("fall") >= least)
+
+
+def read_questions(spark: SparkSession, path: str) -> DataFrame:
+    """(query_id, question, item) of an evaluation set; one without questions raises when it is read."""
+    schema = "questions array<struct<question: string, expected_chunks: array<bigint>>>"
+    q = spark.read.json(path, multiLine=True, schema=schema)
+    checked = F.when(F.coalesce(F.size("questions"), F.lit(0)) == 0, F.raise_error(F.lit("no questions"))).otherwise(F.col("questions"))
+    return q.select(F.posexplode(checked).alias("query_id", "q")).select("query_id", "q.question", F.explode_outer(F.array_distinct("q.expected_chunks")).alias("item"))
+
+
+def read_benchmark(spark: SparkSession, path: str) -> DataFrame:
+    """(id, content_excerpt, expected_project, expected_source_type) of a classification benchmark."""
+    d = "documents array<struct<id: string, content_excerpt: string, expected_project: string, expected_source_type: string, notes: string>>"
+    return spark.read.json(path, multiLine=True, schema=d).select(F.inline("documents")).drop("notes")
+
+
+def append_run(means: DataFrame, folder: str, run_ts: str, config: str) -> None:
+    """Appends the means of an evaluation to the log of runs."""
+    means.withColumn("run_ts", F.lit(run_ts)).withColumn("config_snapshot", F.lit(config)).write.mode("append").parquet(folder)
+
+
+def due(runs: DataFrame, questions: DataFrame, now: str, days: int = 7) -> bool:
+    """Whether the weekly evaluation should run: there are questions, and the last run is a week old or missing."""
+    if questions.limit(1).count() == 0:
+        return False
+    late = runs.agg((F.max("run_ts") <= F.to_timestamp_ntz(F.lit(now)) - F.expr(f"INTERVAL {days} DAYS")).alias("late")).first()["late"]
+    return late is None or bool(late)

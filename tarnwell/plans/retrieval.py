@@ -341,3 +341,13 @@ def title_overlap(spark, folder):
 def label_extent(spark, folder):
     return table(spark, folder, "embeddings").groupBy("label").agg(F.min("vec_id").alias("first"), F.max("vec_id").alias("last"), F.count("*").alias("n"))
 
+
+
+@query()
+def batched_search(spark, folder):
+    """The titles of every fiftieth source as queries, all searched at once over all chunks."""
+    from tarnwell.search import Store, search
+
+    c = chunks(spark, folder).select("id", project_slug(F.col("project")).alias("project"), "source_id", "chunk_index", "content", "token_count", F.when(usable(F.col("embedding")), F.col("embedding")).alias("embedding"))
+    q = sources(spark, folder).where("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("title").alias("text"))
+    return search(q, Store(c)).select("query_id", "id", "rank", F.round("rrf_score", 6).alias("rrf_score"), "rerank_score")
