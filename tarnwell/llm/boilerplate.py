@@ -69,8 +69,18 @@ def page_of(url: str | None) -> str:
     return parts[-1].lower() if len(parts) > 3 or len(parts) == 1 else ""
 
 
-def read_lines(text: str, url: str | None, title: str | None) -> list[tuple]:
-    """What a page's lines are, in the order of ``LINES`` from ``template`` to ``items``; one tuple a line."""
+def brief(template: str) -> str:
+    """A long template's digest, so that what moves between stages is short; the sign of a site's name stays in front."""
+    import xxhash
+
+    return template if len(template) <= 40 else ("\x02" if "\x02" in template else "") + xxhash.xxh3_64_hexdigest(template.encode("utf-8", "surrogatepass"))
+
+
+def read_lines(text: str, url: str | None, title: str | None, prose: int = 240) -> list[tuple]:
+    """What a page's lines are, in the order of ``LINES`` from ``template`` to ``items``; one tuple a line.
+
+    Punctuated lines of more than ``prose`` characters are paragraphs, related to their page by their length.
+    """
     p = _patterns()
     host = host_of(url)
     site = " ".join(host.split(".")[0].split("-")) if host else ""
@@ -94,6 +104,11 @@ def read_lines(text: str, url: str | None, title: str | None) -> list[tuple]:
             continue
         bare = p["bullet"].sub("", x).strip() or x
         low = bare.casefold()
+        if ended[i] and len(x) > prose:  # a paragraph; it can recur, but has no part in menus, titles or trails
+            t = brief(p["digits"].sub("0", low))
+            out.append((t, "", False, len(bare), True, False, False, True, False, before, [], ""))
+            before = t
+            continue
         titled = bool(fold) and (low == fold or (len(low) >= 12 and (fold.startswith(low) or low.startswith(fold))))
         cells = [c for c in p["split"].split(p["bullet"].sub("", wide[i]).strip()) if c]
         last = cells[-1].casefold() if cells else ""
@@ -115,15 +130,16 @@ def read_lines(text: str, url: str | None, title: str | None) -> list[tuple]:
                 at = h.casefold().find(site)
                 if at >= 0 and len(h.casefold()) == len(h):
                     h = h[:at] + "\x02" + h[at + len(site) :]
-            head = p["digits"].sub("0", p["name"].sub("N", h)).casefold()
+            head = brief(p["digits"].sub("0", p["name"].sub("N", h)).casefold())
+        t, dated = brief(t), "0" in t
         words = [w for w in p["word"].findall(low) if len(w) >= 4]
         others = [count.get(w, set()) - {i} for w in words]
         related = bool(words) and sum(bool(o) for o in others) >= 0.5 * len(words)
         start = bare[0]
         seps = any(s in bare for s in (": ", " - ", ", ", " : ")) or bare.endswith("?")
-        marked = raw[i][0] in "•*" or ("|" in bare and "0" in t)
+        marked = raw[i][0] in "•*" or ("|" in bare and dated)
         teaser = not ended[i] and not titled and not marked and len(bare) <= 90 and (start.isupper() or start.isdigit() or start in "¿«\"“") and (len(bare.split()) >= 4 or seps or (len(bare.split()) == 3 and bare.split()[-1][0].isupper()))
-        plain = start.isupper() and "0" not in t and not marked
+        plain = start.isupper() and not dated and not marked
         shape = p["digits"].sub("0", p["punct"].sub(r" \1 ", p["name"].sub("N", bare))).casefold() if teaser else "~" if plain else ""
         out.append((t, head, False, len(bare), ended[i], titled, teaser, related, crumb, before, items, shape))
         before = t
