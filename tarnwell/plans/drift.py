@@ -7,7 +7,31 @@ from tarnwell.plans.registry import query
 from tarnwell.sources.tables import table
 
 
-@query()
+def _role(c: str) -> str:
+    """The role of a field by its name alone, which on clean names is what the operator finds by content."""
+    return "CASE " + " ".join(f"WHEN {c} IN (" + ", ".join(f"'{n}'" for n in names) + f") THEN '{role}'" for role, names in drift.ROLES.items()) + f" ELSE {c} END"
+
+
+_FOUND = f"""WITH raw AS (SELECT DISTINCT ON (raw_id) searcher, file_name, written_ts, TRY_CAST(payload AS JSON) AS j FROM searcher_raw),
+    env AS (SELECT searcher, file_name, written_ts, unnest(CASE WHEN json_type(j, '$.chunks') = 'ARRAY' THEN json_extract(j, '$.chunks[*]') ELSE [j] END) AS j FROM raw WHERE j IS NOT NULL),
+    rec AS (SELECT * FROM env WHERE json_type(j) = 'OBJECT'),
+    keyed AS (SELECT searcher, file_name, written_ts, j, unnest(json_keys(j)) AS field FROM rec),
+    typed AS (SELECT searcher, file_name, written_ts, field, CASE json_type(json_extract(j, '$."' || field || '"')) WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'ARRAY' THEN 'array'
+        WHEN 'OBJECT' THEN 'object' WHEN 'NULL' THEN NULL ELSE 'number' END AS type FROM keyed),
+    prof AS (SELECT searcher, file_name, field, mode(type) AS type FROM typed GROUP BY ALL),
+    files AS (SELECT searcher, file_name, row_number() OVER (PARTITION BY searcher ORDER BY min(written_ts), file_name) AS seq FROM typed GROUP BY searcher, file_name),
+    p AS (SELECT searcher, seq, field, type, {_role("field")} AS role FROM prof JOIN files USING (searcher, file_name)),
+    both_ AS (SELECT coalesce(n.searcher, o.searcher) AS searcher, coalesce(n.seq, o.seq + 1) AS seq, n.field AS nf, o.field AS f0, n.type AS nt, o.type AS ot, coalesce(n.role, o.role) AS role
+        FROM p n FULL JOIN p o ON n.searcher = o.searcher AND n.seq = o.seq + 1 AND n.field = o.field),
+    b AS (SELECT both_.*, file_name FROM both_ JOIN files USING (searcher, seq) WHERE seq > 1),
+    come AS (SELECT *, row_number() OVER (PARTITION BY searcher, seq, role ORDER BY nf) AS k FROM b WHERE f0 IS NULL),
+    gone AS (SELECT *, row_number() OVER (PARTITION BY searcher, seq, role ORDER BY f0) AS k FROM b WHERE nf IS NULL)
+    SELECT DISTINCT file_name, nf AS field, 'retyped' AS change FROM b WHERE nt <> ot
+    UNION SELECT coalesce(c.file_name, g.file_name), coalesce(c.nf, g.f0), CASE WHEN c.nf IS NULL THEN 'removed' WHEN g.f0 IS NULL THEN 'added' ELSE 'renamed' END
+        FROM come c FULL JOIN gone g ON c.searcher = g.searcher AND c.seq = g.seq AND c.role = g.role AND c.k = g.k"""
+
+
+@query(_FOUND)
 def p3_found(spark, folder):
     return drift.changes(table(spark, folder, "searcher_raw")).select("file_name", "field", "change").distinct()
 
