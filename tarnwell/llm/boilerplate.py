@@ -114,6 +114,7 @@ def read_lines(text: str, url: str | None, title: str | None, prose: int = 240)
         last = cells[-1].casefold() if cells else ""
         crumb = len(cells) > 1 and bool(fold) and not titled and len(last) >= 4 and (fold.startswith(last) or last == fold) and cells[0].casefold() != fold
         items = [c.casefold() for c in cells] if len(cells) > 1 and not any(c.isdigit() for x_ in cells for c in x_) and all(len(c) <= 20 for c in cells) else []
+        row = len(items) >= 4 and not ended[i]  # many short cells without figures: a menu in one line
         if not items and len(cells) > 1 and p["trail"].search(bare) and len(cells[0]) <= 20:
             items = [c.casefold() for c in cells[:-1]]  # a breadcrumb, should these be menu items
         t = low
@@ -141,7 +142,7 @@ def read_lines(text: str, url: str | None, title: str | None, prose: int = 240)
         teaser = not ended[i] and not titled and not marked and len(bare) <= 90 and (start.isupper() or start.isdigit() or start in "¿«\"“") and (len(bare.split()) >= 4 or seps or (len(bare.split()) == 3 and bare.split()[-1][0].isupper()))
         plain = start.isupper() and not dated and not marked
         shape = p["digits"].sub("0", p["punct"].sub(r" \1 ", p["name"].sub("N", bare))).casefold() if teaser else "~" if plain else ""
-        out.append((t, head, False, len(bare), ended[i], titled, teaser, related, crumb, before, items, shape))
+        out.append((t, head, False, len(bare), ended[i], titled, teaser, related, crumb or (row and not related), before, items, shape))
         before = t
     return out
 
