@@ -37,10 +37,10 @@ KINDS = {
 #: Common short forms of given names.
 NICKNAMES = {
     "alexander": "alex sandy sasha al xander", "anthony": "tony ant", "cassandra": "cass cassie sandra sandy", "christopher": "chris kit topher", "deborah": "deb debbie debs", "edward": "ed ned ted eddie teddy",
-    "elizabeth": "liz beth lizzie betty eliza betsy libby", "frederick": "fred freddie freddy rick", "gabriella": "gabby gabi ella gaby", "harold": "hal harry", "isabella": "izzy bella isa bell", "josephine": "jo josie",
+    "elizabeth": "liz beth lizzie betty eliza betsy libby", "frederick": "fred freddie freddy", "gabriella": "gabby gabi ella gaby", "harold": "hal harry", "isabella": "izzy bella isa bell", "josephine": "jo josie",
     "katherine": "kate kathy katie kit kat kay kitty", "leonard": "len leo lenny", "margaret": "maggie peggy meg marge greta", "matthew": "matt mat", "nicholas": "nick nico nicky klaus", "ottoline": "otto ottie lina",
     "patricia": "pat trish patty tricia", "philippa": "pip pippa phil", "quentin": "quin quint", "quirin": "quin", "rafael": "raf rafa rafe", "richard": "dick rick rich ricky", "robert": "bob rob bert bobby robbie",
-    "susannah": "sue susie suzy sanna sukie", "theodore": "ted theo teddy", "ulrich": "uli ulli rick", "victoria": "vicky tori vic vicki", "william": "bill will billy liam", "yolanda": "yoli yola", "zachary": "zack zach zac",
+    "susannah": "sue susie suzy sanna sukie", "theodore": "ted theo teddy", "ulrich": "uli ulli", "victoria": "vicky tori vic vicki", "william": "bill will billy liam", "yolanda": "yoli yola", "zachary": "zack zach zac",
     "matilda": "tilly", "james": "jim jamie", "john": "jack johnny", "thomas": "tom tommy", "charles": "charlie chuck", "george": "georgie", "henry": "harry hank", "joseph": "joe", "samuel": "sam", "daniel": "dan danny",
     "michael": "mike mick", "benjamin": "ben", "andrew": "andy drew", "rebecca": "becky", "catherine": "cathy kate cath", "eleanor": "nell ellie", "dorothy": "dot dolly", "barbara": "barb babs", "jennifer": "jen jenny", "jessica": "jess",
 }
@@ -299,7 +299,7 @@ def org_fits(a: list[str], b: list[str]) -> bool:
     fa, fb = [w for w in a if not _kind_of(w)], [w for w in b if not _kind_of(w)]
     if ka != kb or len(fa) != len(fb):
         return False
-    same = lambda x, y: x == y or (min(len(x), len(y)) >= 2 and (x.startswith(y) or y.startswith(x))) or (min(len(x), len(y)) >= 4 and distance(x, y, 1) <= 1)
+    same = lambda x, y: x == y or (min(len(x), len(y)) >= 2 and (x.startswith(y) or y.startswith(x))) or (min(len(x), len(y)) >= 3 and distance(x, y, 1) <= 1)
     left = list(fb)
     for x in fa:
         y = next((y for y in left if same(x, y)), None)
@@ -310,16 +310,36 @@ def org_fits(a: list[str], b: list[str]) -> bool:
 
 
 def resolve_orgs(forms: list[tuple[int, str, list[str]]]) -> list[int]:
-    """A cluster for each form; an acronym that fits two organisations is nobody's."""
-    heads: list[list[str]] = []
-    label = [-1] * len(forms)
-    for i in sorted(range(len(forms)), key=lambda i: (-sum(map(len, forms[i][2])), forms[i][2])):
-        rest = forms[i][2]
-        fits = [k for k, h in enumerate(heads) if org_fits(rest, h)]
+    """A cluster for each form; an acronym that fits two organisations is nobody's.
+
+    Forms that fit any form of an organisation belong to it, so two slips of one name meet through the name itself.
+    """
+    groups: list[list[list[str]]] = []
+    place: dict[tuple[str, ...], int] = {}
+    for rest in sorted({tuple(f[2]) for f in forms if len(f[2]) > 1}):
+        fits = [k for k, g in enumerate(groups) if g and any(org_fits(list(rest), h) for h in g)]
+        if not fits:
+            groups.append([])
+            fits = [len(groups) - 1]
+        home, *others = fits
+        groups[home].append(list(rest))
+        for k in others:
+            groups[home] += groups[k]
+            groups[k] = []
+    for k, g in enumerate(groups):
+        for h in g:
+            place[tuple(h)] = k
+    single: dict[str, int] = {}
+    label = []
+    for i, (_, _, rest) in enumerate(forms):
+        if len(rest) > 1:
+            label.append(place[tuple(rest)])
+            continue
+        fits = [k for k, g in enumerate(groups) if any(org_fits(rest, h) for h in g)]
         if not fits:
-            heads.append(rest)
-            fits = [len(heads) - 1]
-        label[i] = fits[0] if len(fits) == 1 else -2 - i
+            label.append(single.setdefault(rest[0] if rest else "", len(groups) + len(single)))
+        else:
+            label.append(fits[0] if len(fits) == 1 else -2 - i)
     return label
 
 
