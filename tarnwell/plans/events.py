@@ -169,7 +169,8 @@ def html_stripped(spark, folder):
 # streams: the events file read as a stream and drained
 
 
-@query("SELECT time_bucket(INTERVAL 1 DAY, ts) AS day, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY ALL HAVING time_bucket(INTERVAL 1 DAY, ts) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events)")
+@query("""SELECT * FROM (SELECT time_bucket(INTERVAL 1 DAY, ts) AS day, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2)
+    WHERE day + INTERVAL 1 DAY <= (SELECT max(ts) FROM events)""")
 def stream_daily_counts(spark, folder):
     """Counts by day and kind through a watermarked stream: the days that are over, the last one is still open."""
     from tarnwell.streaming import jobs
