@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from tarnwell.functions.text import cosine, tokens, usable
+from tarnwell.functions.text import cosine, dot, tokens, usable
 
 #: Query vectors compared in one pass; more queries are taken in blocks of this many.
 QUERY_BLOCK = 4096
@@ -85,8 +85,12 @@ def scores(df: DataFrame, key: str, vector: str, centers: DataFrame, name: str,
     """(key, name, score) of every row against every center; the centers must be few (checked) to be sent along."""
     if centers.limit(most + 1).count() > most:
         raise ValueError(f"more than {most} centers: route in blocks of them")
-    c = centers.select(F.col(name), F.col(center).alias("_c"))
-    return df.crossJoin(F.broadcast(c)).select(key, name, cosine(F.col(vector), F.col("_c")).alias("score"))
+    # norms once a row and once a center, below the join; only the dot products are made pair by pair
+    c = centers.select(F.col(name), F.col(center).alias("_c"), F.sqrt(dot(F.col(center), F.col(center))).alias("_cn"))
+    v = df.select(key, F.col(vector).alias("_v"), F.sqrt(dot(F.col(vector), F.col(vector))).alias("_vn"))
+    norm = F.col("_vn") * F.col("_cn")
+    score = F.when(F.size("_v") != F.size("_c"), None).when(norm == 0, F.lit(0.0)).otherwise(dot(F.col("_v"), F.col("_c")) / norm)
+    return v.crossJoin(F.broadcast(c)).select(key, name, score.alias("score"))
 
 
 def nearest(scored: DataFrame, key: str, name: str, digits: int = 9) -> DataFrame:

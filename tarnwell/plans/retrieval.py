@@ -9,6 +9,7 @@ from tarnwell.functions.text import blend, cosine, normal, tokens, usable
 from tarnwell.operators import evaluate, fulltext, fusion, vector
 from tarnwell.plans.common import CEN, CH, SRC, VEC, chunks, ok, slug, sources, vectors, words
 from tarnwell.plans.registry import query
+from tarnwell.session import written
 from tarnwell.sources.tables import project_slug, table
 
 QUESTION = "why was the lock gate repaired before winter"
@@ -318,7 +319,7 @@ def classification_accuracy(spark, folder):
 @query()
 def ablation(spark, folder):
     """Each component switched off in turn: how many of the full configuration's results stay."""
-    lists, full = _lists(spark, folder), RetrievalConfig()
+    lists, full = [written(x, "list") for x in _lists(spark, folder)], RetrievalConfig()
     parts = {"vector": 0, "bm25": 1, "graph": 2}
     out = None
     base = fusion.ranked(fusion.rrf(lists, [full.rrf_weights[p] for p in parts], "id"), "id", "rrf_score").where("rank <= 10").select("id")
