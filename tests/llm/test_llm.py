@@ -208,6 +208,19 @@ def test_furniture(spark):
     assert boilerplate.furniture(d.limit(0)).count() == 0
 
 
+def test_long_notices_are_furniture(spark):
+    notice = "We and our partners store cookies on your device to personalise advertising, measure audiences and develop services; by continuing you consent to this processing, which you may withdraw whenever you like under privacy settings, where every vendor, purpose, retention period and legitimate interest is listed."
+    assert len(notice) >= 300
+    rows = []
+    for k in range(30):
+        word = "".join(chr(97 + (k * 7 + j * j) % 26) for j in range(6))
+        body = f"The {word} lock of the town was repaired because the water had risen over the old {word} wall. " * 4
+        named = f"Alpha Post {notice}" if k % 2 else notice
+        rows.append((k, f"https://alpha-post.example/a/s{k}", f"Story {word}", f"Story {word}\n{body.strip()}\nThe water at the {word} wall has risen over the town lock before, and was repaired.\n{named}"))
+    d = spark.createDataFrame(rows, "row_id long, source_url string, source_title string, text string")
+    assert {tuple(r) for r in boilerplate.furniture(d).collect()} == {(k, 4) for k in range(30)}
+
+
 # 7: splitting
 
 
