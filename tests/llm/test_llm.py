@@ -144,6 +144,24 @@ def test_clusters(spark):
     assert len(top) == 8 and {r["size"] for r in top} == {80}
 
 
+def test_all_groups_of_a_bucket_are_paired(spark):
+    _, x = blobs(12, 60, 3)
+    x = x[np.random.default_rng(4).permutation(len(x))]
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    sets = cluster.set_of(x, 256, 16)
+    keys = cluster.bands_of(sets, 64, 256, 1, 1)[:, 0]
+    want, leaders = set(), {}
+    for i, (k, s) in enumerate(zip(keys.tolist(), (set(s) for s in sets.tolist()), strict=True)):
+        a = next((a for a, o in leaders.setdefault(k, []) if len(s & o) >= 2 * 16 * 0.35 / 1.35), None)
+        if a is None:
+            leaders[k].append((i, s))
+        else:
+            want.add((a, i))
+    d = spark.createDataFrame([(i, bytearray(v.tobytes())) for i, v in enumerate(x)], "id long, vec binary")
+    assert {tuple(r) for r in cluster.verified_pairs(d, 64, 256, 16, 1, 1, 0.35).collect()} == want
+    assert max(len(v) for v in leaders.values()) > 4
+
+
 def test_clusters_of_little(spark):
     d = spark.createDataFrame([(1, "p", [1.0] * 64)], "id long, project string, embedding array<float>")
     assert [r["g"] for r in cluster.cluster(d).collect()] == [None]
