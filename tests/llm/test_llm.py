@@ -162,6 +162,19 @@ def test_all_groups_of_a_bucket_are_paired(spark):
     assert max(len(v) for v in leaders.values()) > 4
 
 
+def test_groups_past_the_leaders_are_found(spark):
+    r = np.random.default_rng(5)
+    g = np.repeat(np.arange(11), 20)
+    x = (r.standard_normal((11, 64))[g] / 8 + r.standard_normal((220, 64)) * 0.03).astype(np.float32)
+    d = spark.createDataFrame([(i, bytearray(v.tobytes())) for i, v in enumerate(x / np.linalg.norm(x, axis=1, keepdims=True))], "id long, vec binary")
+    centre = np.stack([x[g == k].mean(axis=0) for k in range(11)])
+    centre /= np.linalg.norm(centre, axis=1, keepdims=True)
+    loose = cluster.group_means(d, tight=1.1, leaders=1)  # no component is tight; a medoid a round
+    small = cluster.group_means(d, least=100, leaders=2, passes=0)  # all components are small
+    for means in (loose, small):
+        assert len(means) == 11 and ((centre @ means.T).max(axis=1) > 0.95).all()
+
+
 def test_clusters_of_little(spark):
     d = spark.createDataFrame([(1, "p", [1.0] * 64)], "id long, project string, embedding array<float>")
     assert [r["g"] for r in cluster.cluster(d).collect()] == [None]
