@@ -56,7 +56,7 @@ def _both(spark: SparkSession, folder: str) -> DataFrame:
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     """Pairs among each other's 10 most similar with a cosine of 0.95 or more, by the shifted curves."""
-    near = vectors.knn(_both(spark, folder), "id", "embedding", "kind", k=10, floor=0.95)
+    near = vectors.knn(_both(spark, folder), "id", "embedding", "kind", k=10, floor=0.95, all_copies=False)
     return vectors.mutual(near).withColumnRenamed("space", "kind")
 
 

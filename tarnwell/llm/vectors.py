@@ -103,16 +103,27 @@ def curve_keys(x: np.ndarray, curve: int, seed: int = 7) -> np.ndarray:
     return hilbert_keys(np.minimum((u + shift) * (1 << (BITS - 1)), (1 << BITS) - 1).astype(np.int64))
 
 
+def _hashed(vectors: DataFrame) -> DataFrame:
+    return vectors.withColumn("h1", F.xxhash64("vec")).withColumn("h2", F.hash("vec"))
+
+
 def folded(vectors: DataFrame, key: str, space: str, k: int) -> DataFrame:
-    """(space, rep, vec, ids): one row for each distinct vector, with the ``k`` + 1 smallest of its ids.
+    """(space, h1, h2, rep, vec, ids): one row for each distinct vector, with the ``k`` + 1 smallest of its ids.
 
-    More ids can't matter: in the order by cosine and id, the others of a group of copies have only smaller ids of the
-    group among their ``k`` nearest, and these don't have them.
+    More ids are nobody's neighbours: in the order by cosine and id, smaller ids of the group come before them. Their
+    own ``k`` nearest are the group's ``k`` smallest ids; see ``further``.
     """
-    h = vectors.withColumn("h1", F.xxhash64("vec")).withColumn("h2", F.hash("vec"))
+    h = _hashed(vectors)
     group = [space, "h1", "h2"]
     first = h.withColumn("_r", F.dense_rank().over(W.partitionBy(*group).orderBy(key))).where(F.col("_r") <= k + 1)
-    return first.groupBy(*group).agg(F.min(key).alias("rep"), F.first("vec").alias("vec"), F.array_sort(F.collect_set(key)).alias("ids")).drop("h1", "h2")
+    return first.groupBy(*group).agg(F.min(key).alias("rep"), F.first("vec").alias("vec"), F.array_sort(F.collect_set(key)).alias("ids"))
+
+
+def further(vectors: DataFrame, reps: DataFrame, key: str, space: str, k: int) -> DataFrame:
+    """(space, id_a, id_b, cos): the neighbours of the copies that ``folded`` left out of ``reps``."""
+    full = reps.where(F.size("ids") > k).select(space, "h1", "h2", "ids")
+    left = _hashed(vectors).select(space, key, "h1", "h2").join(full, [space, "h1", "h2"]).where(F.col(key) > F.col("ids")[k])
+    return left.dropDuplicates([space, key]).select(space, F.col(key).alias("id_a"), F.explode(F.slice("ids", 1, k)).alias("id_b"), F.lit(1.0).cast("float").alias("cos"))
 
 
 def near(reps: DataFrame, k: int, floor: float, curves: int, block: int, span: int, dim: int, rows_a_task: int, query_every: int | None) -> DataFrame:
@@ -174,18 +185,19 @@ def near(reps: DataFrame, k: int, floor: float, curves: int, block: int, span: i
 
 def knn(
     vectors: DataFrame, key: str, vector: str, space: str, k: int = 10, floor: float = -1.0, curves: int = 4, block: int = 256, span: int = 1,
-    dim: int = 64, rows_a_task: int = 40_000, query_every: int | None = None,
+    dim: int = 64, rows_a_task: int = 40_000, query_every: int | None = None, all_copies: bool = True,
 ) -> DataFrame:
     """(space, id_a, id_b, cos, rank): for each row the ``k`` most similar rows of its space with a cosine of ``floor`` or more.
 
     ``space`` is a string column; rows of different spaces never meet. Re-delivered rows (one space and key) count
     once. Unusable vectors (null, zero, not finite, with null parts, not of length ``dim``) neither have nor are
-    neighbours; the length of a vector doesn't matter. Ties go to the smaller id. Of more than ``k`` + 1 copies of a
-    vector the ones beyond the ``k`` + 1 smallest ids are left out of the result: their neighbours are the first
-    ``k`` of the copies. With ``query_every`` only keys divisible by it ask, against all rows. Null keys are left out.
+    neighbours; the length of a vector doesn't matter. Ties go to the smaller id. With
+    ``query_every`` only keys divisible by it ask, against all rows. Null keys are left out. Without ``all_copies``
+    the copies of a vector beyond the ``k`` + 1 smallest ids don't ask: none of their neighbours, the first ``k`` of
+    the copies, has them among its own, so ``mutual`` pairs are the same.
     """
-    usable = unit_vectors(vectors.where(F.col(key).isNotNull()), key, vector, dim, [space]).withColumnRenamed(key, "_id").withColumnRenamed(space, "space")
-    reps = written(folded(usable, "_id", "space", k), "vectors")
+    usable = lambda rows: unit_vectors(rows.where(F.col(key).isNotNull()), key, vector, dim, [space]).withColumnRenamed(key, "_id").withColumnRenamed(space, "space")
+    reps = written(folded(usable(vectors), "_id", "space", k), "vectors")
     pairs = near(reps, k, floor, curves, block, span, dim, rows_a_task, None)
     ids = reps.select("space", "rep", "ids")
     copies = ids.where(F.size("ids") > 1).select("space", F.explode("ids").alias("id_a"), "ids").select("space", "id_a", F.explode("ids").alias("id_b"), F.lit(1.0).cast("float").alias("cos")).where("id_a != id_b")
@@ -199,6 +211,9 @@ def knn(
     if query_every:
         every = every.where(F.col("id_a") % query_every == 0)
     rank = F.row_number().over(W.partitionBy("space", "id_a").orderBy(F.desc("cos"), "id_b"))
+    if all_copies:
+        asking = vectors.where(F.col(key) % query_every == 0) if query_every else vectors
+        every = every.unionByName(further(usable(asking), reps, "_id", "space", k))
     return every.withColumn("rank", rank).where(F.col("rank") <= k)
 
 

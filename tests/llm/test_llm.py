@@ -218,6 +218,17 @@ def test_many_copies_of_one_vector(spark):
     assert vectors.knn(d.limit(0), "id", "embedding", "kind").count() == 0
 
 
+def test_every_copy_has_its_neighbours(spark):
+    rows = [(i, "t", [1.0] * 64) for i in range(40)] + [(50, "t", [1.0] * 63 + [2.0]), (3, "other", [1.0] * 64)]
+    d = spark.createDataFrame(rows + rows[:20], "id long, kind string, embedding array<float>")
+    want = {i: [j for j in range(11) if j != i][:10] for i in range(40)} | {50: list(range(10))}
+    for every in (None, 5):
+        got: dict[int, list] = {}
+        for r in vectors.knn(d, "id", "embedding", "kind", query_every=every).where("space = 't'").orderBy("id_a", "rank").collect():
+            got.setdefault(r["id_a"], []).append(r["id_b"])
+        assert got == {i: w for i, w in want.items() if not every or i % every == 0}
+
+
 # 5: boilerplate
 
 
