@@ -45,6 +45,27 @@ def file_title(c: Column, most: int = 80) -> Column:
     return F.substring(strip(F.regexp_replace(F.regexp_replace(c, r'[\\/:*?"<>|#^\[\]]', " "), r"\s+", " ")), 1, most)
 
 
+#: Words that stay in lower case inside a title.
+SMALL_WORDS = "a an the and or but of in on at to for from with by as is vs".split()
+
+
+def folder_name(c: Column, most: int = 60) -> Column:
+    """A name that can be a folder: quotes and stars around it and reserved characters go, white space collapses."""
+    bare = F.regexp_replace(F.trim(c), r"^['\"`*]+|['\"`*]+$", "")
+    return F.substring(F.trim(F.regexp_replace(F.regexp_replace(bare, r'[<>:"/\\|?*]', ""), r"\s+", " ")), 1, most)
+
+
+def dated_title(c: Column, date: str, most: int = 60) -> Column:
+    """``Title Case Topic - <date>.md``: cut to ``most`` at a word, small words but the first in lower case; Research if nothing stays."""
+    flat = strip(F.regexp_replace(F.regexp_replace(c, r'[<>:"/\\|?*\x00-\x1f]', " "), r"\s+", " "))
+    core = F.regexp_replace(flat, r"^[\s\-_.,;:!?]+|[\s\-_.,;:!?]+$", "")
+    head = F.substring(core, 1, most)
+    short = F.when(F.char_length(core) <= most, core).otherwise(F.coalesce(F.nullif(F.regexp_extract(head, r"^(.+) [^ ]*$", 1), F.lit("")), head))
+    cased = F.transform(F.split(F.lower(short), r"\s+"), lambda w, i: F.when((i > 0) & w.isin(SMALL_WORDS), w).otherwise(F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1000))))
+    title = F.array_join(cased, " ")
+    return F.concat(F.when(F.coalesce(title, F.lit("")) == "", F.lit("Research")).otherwise(title), F.lit(f" - {date}.md"))
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
 

@@ -15,7 +15,12 @@ def metrics(ranked: DataFrame, expected: DataFrame, k: int = 10, recall_k: int =
     """
     want = expected.select("query_id", "item").distinct()
     n = want.groupBy("query_id").agg(F.count("*").alias("expected"))
-    hit = ranked.where(F.col("rank") <= k).join(want, ["query_id", "item"])
+    return scored(ranked.where(F.col("rank") <= k).join(want, ["query_id", "item"]).select("query_id", "rank"), n, k, recall_k)
+
+
+def scored(relevant: DataFrame, n: DataFrame, k: int = 10, recall_k: int = 5) -> DataFrame:
+    """(query_id, ndcg, mrr, recall) from the ranks of relevant results and the number of items expected, (query_id, expected)."""
+    hit = relevant.where(F.col("rank") <= k)
     got = hit.groupBy("query_id").agg(
         F.sum(1 / F.log2(F.col("rank") + 1)).alias("dcg"), F.max(1 / F.col("rank")).alias("mrr"), F.count_if(F.col("rank") <= recall_k).alias("within")
     )
@@ -53,14 +58,31 @@ def read_benchmark(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.json(path, multiLine=True, schema=d).select(F.inline("documents")).drop("notes")
 
 
-def append_run(means: DataFrame, folder: str, run_ts: str, config: str) -> None:
-    """Appends the means of an evaluation to the log of runs."""
-    means.withColumn("run_ts", F.lit(run_ts)).withColumn("config_snapshot", F.lit(config)).write.mode("append").parquet(folder)
-
-
-def due(runs: DataFrame, questions: DataFrame, now: str, days: int = 7) -> bool:
-    """Whether the weekly evaluation should run: there are questions, and the last run is a week old or missing."""
-    if questions.limit(1).count() == 0:
-        return False
-    late = runs.agg((F.max("run_ts") <= F.to_timestamp_ntz(F.lit(now)) - F.expr(f"INTERVAL {days} DAYS")).alias("late")).first()["late"]
-    return late is None or bool(late)
+def append_run(means: DataFrame, folder: str, run_ts: str, config: str, last_run: str | None = None) -> None:
+    """Appends the means of an evaluation to the log of runs; ``last_run`` names the file that keeps the newest ones beside the questions."""
+    run = means.withColumn("run_ts", F.lit(run_ts)).withColumn("config_snapshot", F.lit(config))
+    run.write.mode("append").parquet(folder)
+    if last_run:
+        run.coalesce(1).write.mode("overwrite").json(last_run)
+
+
+def skip_reason(runs: DataFrame | None, questions: DataFrame | None, now: str, chunks: DataFrame | None = None, evaluator: bool = True, days: int = 7) -> str | None:
+    """Why the weekly evaluation doesn't run now, null if it does: no collection, no questions, no evaluator, or a run in the last week."""
+    if chunks is None or questions is None or not chunks.limit(1).count():
+        return "no collection"
+    if not questions.limit(1).count():
+        return "no questions"
+    if not evaluator:
+        return "no evaluator"
+    if runs is not None:
+        recent = F.max("run_ts") > F.to_timestamp_ntz(F.lit(now)) - F.expr(f"INTERVAL {days} DAYS")
+        if runs.agg(recent.alias("r")).first()["r"]:
+            return "recent run"
+    return None
+
+
+def deltas(means: DataFrame, run: str = "run", base: str = "full") -> DataFrame:
+    """``means`` (run and metrics, a row a configuration) with what each metric loses against the run ``base``."""
+    metrics = [c for c in means.columns if c != run]
+    ref = means.where(F.col(run) == base).select(*[F.col(c).alias(f"_{c}") for c in metrics])
+    return means.crossJoin(F.broadcast(ref)).select(run, *metrics, *[F.round(F.col(c) - F.col(f"_{c}"), 6).alias(f"{c}_delta") for c in metrics])  # one row on the right

@@ -6,11 +6,12 @@ import re
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tarnwell.functions.text import WORD, tokens
+from tarnwell.session import written
 
 #: Fixed values of the ranking function.
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
@@ -28,35 +29,58 @@ def index(df: DataFrame, key: str, text: str) -> DataFrame:
     return p.groupBy("term", key).agg(F.array_sort(F.collect_list("pos")).alias("positions"), F.count("*").alias("tf"), F.first("doc_len").alias("doc_len"))
 
 
-def _bm25(hits: DataFrame, docs: DataFrame, key: str, by: list[str]) -> DataFrame:
-    """Scores of (by, key, tf) hits against the statistics of all documents."""
-    stats = docs.agg(F.count("*").alias("total"), F.avg("doc_len").alias("avgdl"))
-    df_ = hits.groupBy(*by).agg(F.count("*").alias("n")) if by else hits.agg(F.count("*").alias("n"))
-    h = hits.join(docs, key).crossJoin(F.broadcast(stats))
-    h = h.join(df_, by) if by else h.crossJoin(F.broadcast(df_))
-    idf = F.greatest(F.log((F.col("total") - F.col("n") + 0.5) / (F.col("n") + 0.5)), F.lit(IDF_FLOOR))
-    return h.withColumn("score", idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("doc_len") / F.col("avgdl"))))
+def frequencies(df: DataFrame, key: str, text: str, words: list[str], label: str = "frequencies") -> DataFrame:
+    """(key, doc_len, tf array<int>): how often each text has each of the words, from one reading of the texts.
 
+    The texts are split once and only these few numbers are kept, written to the shared folder, so that the corpus
+    statistics and the scores both come from them. Null texts have no row.
+    """
+    t = df.where(F.col(text).isNotNull()).select(key, tokens(F.col(text)).alias("_t"))
+    count = lambda w: F.size(F.filter("_t", lambda x: x == w))
+    tf = F.array(*[count(w) for w in words]) if words else F.array().cast("array<int>")
+    return written(t.select(key, F.size("_t").alias("doc_len"), tf.alias("tf")), label)
 
-def phrase_tf(df: DataFrame, key: str, text: str, phrase: str) -> DataFrame:
-    """(key, tf): how often the words of ``phrase`` stand next to each other in that order.
 
-    Only the postings of the phrase's words leave the scan; positions less the word's place in the phrase must agree.
-    """
-    words = re.findall(r"[^\W]+", phrase.lower())
-    want = F.create_map(*[x for w in dict.fromkeys(words) for x in (F.lit(w), F.array(*[F.lit(i) for i, v in enumerate(words) if v == w]))])
-    p = postings(df, key, text).where(F.col("term").isin(*words)).select(key, "pos", F.explode(want[F.col("term")]).alias("place"))
-    runs = p.groupBy(key, (F.col("pos") - F.col("place")).alias("at")).agg(F.count_distinct("place").alias("c")).where(F.col("c") == len(words))
-    return runs.groupBy(key).agg(F.count("*").alias("tf"))
+def scored(tf: DataFrame, key: str, terms: int) -> DataFrame:
+    """(key, score): the sum of BM25 over the ``terms`` frequencies of each text that has any of them."""
+    each = [F.count_if(F.col("tf")[i] > 0) for i in range(terms)]
+    stats = tf.agg(F.count("*").alias("total"), F.avg("doc_len").alias("avgdl"), F.array(*each).alias("n"))
+    hit = tf.where(F.exists("tf", lambda x: x > 0)).crossJoin(F.broadcast(stats))  # one row of statistics
+    norm = K1 * (1 - B + B * F.col("doc_len") / F.col("avgdl"))
+
+    def part(i: int) -> Column:
+        n = F.col("n")[i]
+        idf = F.greatest(F.log((F.col("total") - n + 0.5) / (n + 0.5)), F.lit(IDF_FLOOR))
+        return F.when(F.col("tf")[i] > 0, idf * F.col("tf")[i] * (K1 + 1) / (F.col("tf")[i] + norm)).otherwise(0.0)
+
+    total = part(0)
+    for i in range(1, terms):
+        total = total + part(i)
+    return hit.select(key, F.round(total, 6).alias("score"))
+
 
+def words_of(query: str) -> list[str]:
+    return list(dict.fromkeys(re.findall(r"[^\W]+", query.lower())))
 
-def doc_lengths(df: DataFrame, key: str, text: str) -> DataFrame:
-    return df.where(F.col(text).isNotNull()).select(key, F.size(tokens(F.col(text))).alias("doc_len"))
+
+def _phrase_count(text: Column, phrase: list[str]) -> Column:
+    """How often the words of ``phrase`` stand next to each other in that order; a search in the text's words, joined by blanks, that may overlap."""
+    flat = F.concat(F.lit(" "), F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}_]+", " "), F.lit(" "))
+    return F.regexp_count(flat, F.lit("(?= " + " ".join(phrase) + " )"))
+
+
+def phrase_tf(df: DataFrame, key: str, text: str, phrase: str) -> DataFrame:
+    """(key, tf): how often the words of ``phrase`` stand next to each other in that order; texts that have it not at all have no row."""
+    words = re.findall(r"[^\W]+", phrase.lower())
+    return df.where(F.col(text).isNotNull()).select(key, _phrase_count(F.col(text), words).cast("long").alias("tf")).where("tf > 0")
 
 
 def bm25_phrase(df: DataFrame, key: str, text: str, phrase: str, k: int, keep: DataFrame | None = None) -> DataFrame:
     """(key, score): the ``k`` best by phrase BM25, one idf for the phrase; ``keep`` filters after scoring."""
-    s = _bm25(phrase_tf(df, key, text, phrase), doc_lengths(df, key, text), key, []).select(key, F.round("score", 6).alias("score"))
+    words = re.findall(r"[^\W]+", phrase.lower())
+    t = df.where(F.col(text).isNotNull())
+    tf = written(t.select(key, F.size(tokens(F.col(text))).alias("doc_len"), F.array(_phrase_count(F.col(text), words)).alias("tf")), "phrase")
+    s = scored(tf, key, 1)
     if keep is not None:
         s = s.join(keep.select(key), key, "left_semi")
     return s.orderBy(F.desc("score"), key).limit(k)
@@ -64,9 +88,8 @@ def bm25_phrase(df: DataFrame, key: str, text: str, phrase: str, k: int, keep: D
 
 def bm25_terms(df: DataFrame, key: str, text: str, query: str, k: int) -> DataFrame:
     """(key, score): the ``k`` best by the sum of the query words' BM25 (bag of words)."""
-    words = list(dict.fromkeys(re.findall(r"[^\W]+", query.lower())))
-    hits = postings(df, key, text).where(F.col("term").isin(*words)).groupBy("term", key).agg(F.count("*").alias("tf"))
-    return _bm25(hits, doc_lengths(df, key, text), key, ["term"]).groupBy(key).agg(F.round(F.sum("score"), 6).alias("score")).orderBy(F.desc("score"), key).limit(k)
+    words = words_of(query)
+    return scored(frequencies(df, key, text, words), key, len(words)).orderBy(F.desc("score"), key).limit(k)
 
 
 def _measure(stem: str) -> int:

@@ -11,10 +11,15 @@ from pyspark.sql import Window as W
 from tarnwell.operators.vector import overlap_score
 
 
-def ranked(df: DataFrame, key: str, score: str, by: list[str] | None = None) -> DataFrame:
-    """Adds ``rank`` from 1 by score, ties to the smaller key; within ``by`` if given."""
-    w = (W.partitionBy(*by) if by else W.partitionBy(F.lit(0))).orderBy(F.desc(score), key)
-    return df.withColumn("rank", F.row_number().over(w))
+def ranked(df: DataFrame, key: str, score: str, by: list[str] | None = None, most: int = 1000) -> DataFrame:
+    """Adds ``rank`` from 1 by score, ties to the smaller key; within ``by`` if given, else of the ``most`` best.
+
+    Without ``by`` the ranks are given in one task, so the best are taken first, which every task does for its own rows.
+    """
+    order = [F.desc(score), key]
+    if by:
+        return df.withColumn("rank", F.row_number().over(W.partitionBy(*by).orderBy(*order)))
+    return df.orderBy(*order).limit(most).withColumn("rank", F.row_number().over(W.partitionBy(F.lit(0)).orderBy(*order)))
 
 
 def rrf(lists: list[DataFrame], weights: list[float], key: str, k: int = 60, by: list[str] | None = None) -> DataFrame:

@@ -33,17 +33,33 @@ def glob_regex(pattern: str) -> str:
 
 
 def matched(df: DataFrame, path: str, pattern: str) -> DataFrame:
-    """Rows whose path the glob matches; a refused pattern raises."""
+    """Rows whose path the pattern takes; a refused pattern raises.
+
+    A pattern with * or ? is a glob, which never reaches into the protected folders. One without is a file, or a
+    folder and then all below it.
+    """
     if reason := pattern_problem(pattern):
         raise ValueError(reason)
-    return df.where(F.col(path).rlike(glob_regex(pattern)))
+    clean = F.regexp_replace(path, r"\\", "/")
+    if re.search(r"[*?]", pattern):
+        return df.where(clean.rlike(glob_regex(pattern)) & ~clean.rlike(r"^\.(git|claude|obsidian)/"))
+    plain = pattern.replace("\\", "/").rstrip("/")
+    return df.where((clean == plain) | clean.startswith(plain + "/"))
 
 
-def preview(df: DataFrame, path: str, pattern: str, many: int = 20) -> DataFrame:
-    """(pattern, files, escalate): how many files a redaction would take, and whether it needs a second look."""
-    top = bool(re.fullmatch(r"[^\\/]+[\\/]\*{1,2}", pattern)) or pattern in ("*", "**")
+def preview(df: DataFrame, path: str, pattern: str, many: int = 20, commits: DataFrame | None = None) -> DataFrame:
+    """(pattern, files, escalate[, commits]): what a redaction would take, and whether it needs a second look.
+
+    ``commits`` (commit, path) adds how many commits touch a file that goes.
+    """
+    top = bool(re.fullmatch(r"[^\\/]+[\\/](\*{1,2})?", pattern)) or pattern in ("*", "**") or not re.search(r"[\\/.]", pattern)
     n = F.count_distinct(path)
-    return matched(df, path, pattern).agg(F.lit(pattern).alias("pattern"), n.alias("files"), ((n > many) | F.lit(top)).alias("escalate"))
+    hit = matched(df, path, pattern)
+    out = hit.agg(F.lit(pattern).alias("pattern"), n.alias("files"), ((n > many) | F.lit(top)).alias("escalate"))
+    if commits is None:
+        return out
+    touched = commits.join(hit.select(path).distinct(), path, "left_semi").agg(F.count_distinct("commit").alias("commits"))
+    return out.crossJoin(F.broadcast(touched))  # one row each
 
 
 def redact(df: DataFrame, path: str, pattern: str, when: str, dry_run: bool = True) -> tuple[DataFrame, DataFrame]:
@@ -53,18 +69,37 @@ def redact(df: DataFrame, path: str, pattern: str, when: str, dry_run: bool = Tr
     return (df if dry_run else df.join(hit, path, "left_anti")), stones
 
 
-def audit(tool: Column, command: Column, target: Column, root: str) -> Column:
-    """The governor's verdict on an event: allow, or why it is blocked."""
-    low, base = F.lower(F.regexp_replace(target, r"\\", "/")), root.lower().rstrip("/") + "/"
+#: Git commands that are allowed, each with what may follow it.
+GIT = {
+    "add": [r"\s+.*"], "commit": [r"\s+-m\s+.*", r"\s+--quiet\s+.*"], "status": [r"(\s+--porcelain)?"], "log": [r"\s+--oneline(\s+.*)?"],
+    "checkout": [r"\s+HEAD~1\s+--\s+.*"], "init": [""], "diff": [r"(\s+.*)?"], "show": [r"(\s+.*)?"],
+}
+#: Other commands that are allowed, and what makes a command a compound one.
+WRAPPERS = [r"^uv\s+run\s+", r"^python\s+-m\s+spacy\s+download\s+", r"hooks[\\/][^\\/]+\.ps1", r"scripts[\\/][^\\/]+\.py"]
+COMPOUND = ["&&", "||", ";", "|", "`", "$("]
+
+
+def resolved(path: Column, cwd: str = "") -> Column:
+    """The absolute form of a path: slashes made one kind, relative paths below ``cwd``, . and .. taken out."""
+    p = F.regexp_replace(path, r"\\", "/")
+    whole = F.when(p.rlike(r"^(/|[A-Za-z]:)"), p).otherwise(F.concat(F.lit(cwd.replace("\\", "/").rstrip("/") + "/"), p))
+    step = lambda done, x: F.when(x.isin("", "."), done).when(x == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.concat(done, F.array(x)))
+    return F.array_join(F.aggregate(F.split(whole, "/"), F.array().cast("array<string>"), step), "/")
+
+
+def audit(tool: Column, command: Column, target: Column, root: str, cwd: str | None = None) -> Column:
+    """The governor's verdict on an event: allow, or why it is blocked. Relative targets stand below ``cwd`` (else the root's parent)."""
+    base = root.replace("\\", "/").strip("/").lower()
+    at = F.lower(resolved(target, cwd if cwd is not None else ""))
     c = F.trim(command)
-    safe = r"^git\s+(add\s+.*|commit\s+(--quiet\s+)?-m\s+.*|commit\s+--quiet\s+.*|status(\s+--porcelain)?|log\s+--oneline(\s+.*)?|checkout\s+HEAD~1\s+--\s+.*|init|diff(\s+.*)?)$"
-    wrapped = c.rlike(r"^uv\s+run\s+") | c.rlike(r"^python\s+-m\s+spacy\s+download\s+") | c.rlike(r"hooks[\\/][^\\/]+\.ps1") | c.rlike(r"scripts[\\/][^\\/]+\.py")
+    some = lambda patterns: F.array_contains(F.array(*[c.rlike("(?i)" + p) for p in patterns]), True)
+    git = [rf"^git\s+{name}{rest}$" for name, forms in GIT.items() for rest in forms]
     return (
-        F.when(tool.isin("Edit", "Write") & (F.coalesce(F.trim(target), F.lit("")) != "") & ~low.startswith(base), "path_boundary_violation")
-        .when((tool != "Bash") | (F.coalesce(c, F.lit("")) == ""), "allow")
-        .when(c.rlike(r"&&|\|\||;|\||`|\$\("), "compound_command")
-        .when(c.rlike(r"^git\s+"), F.when(c.rlike(safe), "allow").otherwise("unsafe_git"))
-        .when(wrapped, "allow").otherwise("unauthorized_shell")
+        F.when(tool.rlike("(?i)^(Edit|Write)$") & (F.coalesce(F.trim(target), F.lit("")) != "") & ~((at == base) | at.startswith(base + "/")), "path_boundary_violation")
+        .when(~tool.rlike("(?i)^Bash$") | (F.coalesce(c, F.lit("")) == ""), "allow")
+        .when(some([re.escape(x) for x in COMPOUND]), "compound_command")
+        .when(c.rlike(r"(?i)^git\s+"), F.when(some(git), "allow").otherwise("unsafe_git"))
+        .when(some(WRAPPERS), "allow").otherwise("unauthorized_shell")
     )
 
 
@@ -106,7 +141,22 @@ def stale(pages: DataFrame, topic: str, name: str, created: str, floor: int = 10
     return pages.withColumn("newer", F.lead(name).over(w)).withColumn("_n", F.count("*").over(W.partitionBy(topic))).where(F.col("newer").isNotNull() & (F.col("_n") >= floor)).select(F.col(name).alias("older"), "newer")
 
 
+def newest(pages: DataFrame, name: str, modified: str, most: int = 200) -> DataFrame:
+    """The ``most`` newest pages, which a lint of a large collection looks at; ties by name."""
+    return pages.orderBy(F.desc(modified), name).limit(most)
+
+
+#: The tags of entity pages.
+TAGS = ["person", "paper", "concept", "organization"]
+
+
+def tagged(pages: DataFrame, name: str, tags: str) -> DataFrame:
+    """(name, tags): pages with one of the entity tags, a # before a tag and its case not counting, by name."""
+    own = F.array_sort(F.array_intersect(F.transform(tags, lambda t: F.lower(F.ltrim(t, F.lit("#")))), F.array(*[F.lit(t) for t in TAGS])))
+    return pages.withColumn("_t", own).where("size(_t) > 0").select(name, F.col("_t").alias("tags")).orderBy(name)
+
+
 def gates(docs: DataFrame, label: str, text: str) -> DataFrame:
     """Adds reason: why pre-flight stops a document, null if it passes. The label must be filled and the text's head name its source_type."""
-    head = F.substring(text, 1, 2000)
+    head = F.substring(text, 1, 2000)  # the front matter stands there: the rule is about the head, not the text
     return docs.withColumn("reason", F.when((F.coalesce(F.trim(label), F.lit("")) == "") | F.upper(label).contains("TODO"), "label missing").when(~F.coalesce(head.rlike(r"(?m)^source_type:"), F.lit(False)), "no source_type"))

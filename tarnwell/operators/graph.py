@@ -18,8 +18,35 @@ def capitalised(c: Column) -> Column:
 
 
 def mentions(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, ord, name, normalized_name): what the default extractor finds, in order; texts beyond 8,000 characters count to there."""
-    return df.select(key, F.posexplode(capitalised(F.substring(text, 1, 8000))).alias("ord", "name")).withColumn("normalized_name", normal(F.col("name")))
+    """(key, ord, name, normalized_name): what the default extractor finds in the whole text, in order."""
+    return df.select(key, F.posexplode(capitalised(F.col(text))).alias("ord", "name")).withColumn("normalized_name", normal(F.col("name")))
+
+
+def cascade(df: DataFrame, text: str, *extractors) -> DataFrame:
+    """Adds entities array<struct<name, type, description>>: what the first extractor that finds anything says, else none.
+
+    An extractor is a function of a text column; one that gives null for a row has failed there, and the next is asked.
+    """
+    kind = "array<struct<name: string, type: string, description: string>>"
+    tried = [F.when(F.size(e(F.col(text)).cast(kind)) > 0, e(F.col(text)).cast(kind)) for e in extractors]
+    return df.withColumn("entities", F.coalesce(*tried, F.array().cast(kind)))
+
+
+def store(found: DataFrame, key: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(entities, links, edges) of (key, project, entities array<struct<name, type, description>>, relations array<struct<source, target, verb>>).
+
+    Names of one of the four types count, empty ones don't. The first text that names an entity (project, type,
+    normalised name) decides its spelling and description. A relation counts if its verb is not empty and both its
+    ends are entities of the same text; its weight is how often it is found.
+    """
+    e = found.select(key, "project", F.posexplode("entities").alias("ord", "e")).select(key, "project", "ord", F.trim("e.name").alias("name"), F.upper(F.trim("e.type")).alias("type"), "e.description")
+    e = e.where(F.col("type").isin(TYPES) & (F.coalesce("name", F.lit("")) != "")).withColumn("normalized_name", normal(F.col("name")))
+    entities = upsert_first(None, e.withColumn("_at", F.struct(key, "ord")).drop("ord"), ["project", "type", "normalized_name"], "_at").select("project", "type", "normalized_name", "name", "description")
+    links = e.select(key, "project", "type", "normalized_name").distinct()
+    r = found.select(key, "project", F.explode("relations").alias("r")).select(key, "project", normal(F.col("r.source")).alias("source"), normal(F.col("r.target")).alias("target"), F.lower(F.trim("r.verb")).alias("relationship")).where(F.coalesce("relationship", F.lit("")) != "")
+    named = e.select(key, "normalized_name").distinct()
+    both = r.join(named.withColumnRenamed("normalized_name", "source"), [key, "source"], "left_semi").join(named.withColumnRenamed("normalized_name", "target"), [key, "target"], "left_semi")
+    return entities, links, both.groupBy("project", "source", "target", "relationship").agg(F.count("*").cast("double").alias("weight"))
 
 
 def recognised(df: DataFrame, name: str, label: str, order: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tarnwell.config import RetrievalConfig
+from tarnwell.functions.text import strip
 
 #: Other names of the canonical fields that searchers write.
 ALIASES = {
@@ -14,7 +15,8 @@ ALIASES = {
     "fetched_at": ["fetched_at", "date"], "sub_question_origin": ["sub_question_origin", "subquestion", "topic"], "text": ["text", "extract"],
 }
 REQUIRED = ["chunk_id", "section_id", "source_url", "source_title", "text"]
-DEFAULTS = {"fetched_at": "unknown", "sub_question_origin": "unspecified"}
+#: What stands where a searcher recorded no date and no question.
+DEFAULTS = {"fetched_at": "2026-01-01T00:00:00Z", "sub_question_origin": "(not recorded)"}
 
 
 def first_filled(*cols: Column) -> Column:
@@ -60,17 +62,60 @@ def pending(plan: DataFrame, counts: DataFrame, run: str) -> DataFrame:
     return j.groupBy(run).agg(ordered(F.lit(True)).alias("all_sections"), ordered(F.col("n").isNull()).alias("framing")).join(have, run, "left").withColumn("total", F.coalesce("total", F.lit(0)))
 
 
-def parse_response(df: DataFrame, text: str) -> DataFrame:
-    """Adds section_id, body, summary, metadata and ok of a section response with its three delimited blocks.
+def merge(records: DataFrame, plan: DataFrame, run: str, order: list[str], cfg: RetrievalConfig | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(chunks, pending, rejects) of the searchers' records of many runs.
 
-    Any block that is missing or empty, or an id that isn't s<number>, and the response isn't ok.
+    Records become canonical, those that lack something or are short are refused with the reason. If an id repeats
+    in a run all its chunks are numbered anew in ``order``. ``place`` is the reading order; ``pending`` tells which
+    sections of the plan have chunks and which only frame.
     """
-    block = lambda name: F.trim(F.regexp_extract(text, rf"(?s)BEGIN_{name}[^\n]*\n(.*?)\n?END_{name}", 1))
-    meta = block("METADATA")
-    pairs = F.filter(F.transform(F.split(meta, "\n"), lambda x: F.struct(F.lower(F.trim(F.regexp_extract(x, r"^\s*([^:]+):", 1))).alias("k"), F.trim(F.regexp_extract(x, r"^[^:]+:(.*)$", 1)).alias("v"))), lambda p: p["k"] != "")
-    d = df.withColumn("section_id", F.regexp_extract(text, r"BEGIN_SECTION\s+(\S+)", 1)).withColumn("body", block("SECTION")).withColumn("summary", block("SUMMARY"))
-    d = d.withColumn("metadata", F.map_from_entries(pairs))
-    return d.withColumn("ok", (F.col("body") != "") & (F.col("summary") != "") & (meta != "") & F.col("section_id").rlike(r"^s\d+$"))
+    n = normalise(records, cfg)
+    chunks = renumber(n.where("reason is null").drop("reason"), run, order)
+    place = F.row_number().over(W.partitionBy(run).orderBy(*reading_order(F.col("section_id"), F.col("chunk_id")), *order))
+    chunks = chunks.withColumn("place", place)
+    counts = chunks.groupBy(run, "section_id").agg(F.count("*").alias("n"))
+    return chunks, pending(plan, counts, run), n.where("reason is not null")
+
+
+#: The blocks of a section response and the lines that enclose them.
+BLOCKS = {"section": ("---BEGIN_SECTION---", "---END_SECTION---"), "summary": ("---BEGIN_SUMMARY---", "---END_SUMMARY---"), "metadata": ("---METADATA---", "---END_METADATA---")}
+#: Metadata that are numbers, and those that are lists of ids.
+NUMBERS, LISTS = ["word_count", "distinct_chunks_cited"], ["chunk_ids_cited"]
+
+
+def parse_response(df: DataFrame, text: str, section_id: str) -> DataFrame:
+    """Adds body, summary, metadata, word_count, distinct_chunks_cited, chunk_ids_cited and problem.
+
+    ``problem`` is null for a good response, else what is wrong with it: an empty response, an id that isn't
+    s<number>, missing blocks, an empty section or summary. Metadata keys are in lower case, unknown ones are kept;
+    the two numbers are null where they can't be read (their text stays in ``metadata``), the ids have no blanks.
+    """
+    t = F.col(text)
+    got = {k: F.regexp_extract(t, rf"(?s)({a}\s*\n(.*?)\n{z})", 2) for k, (a, z) in BLOCKS.items()}
+    there = {k: t.rlike(rf"(?s){a}\s*\n(.*?)\n{z}") for k, (a, z) in BLOCKS.items()}
+    line = r"^\s*([A-Za-z_][A-Za-z0-9_]*)\s*:\s*(.+?)\s*$"
+    pairs = F.filter(F.transform(F.split(got["metadata"], "\n"), lambda x: F.struct(F.lower(F.regexp_extract(x, line, 1)).alias("k"), F.regexp_extract(x, line, 2).alias("v"))), lambda p: p["k"] != "")
+    # of a key that repeats the last line counts
+    last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.greatest(F.size(pairs), F.lit(1))), lambda q: q["k"] == p["k"]))
+    lacking = F.array_join(F.array_compact(F.array(*[F.when(~there[k], F.lit(k)) for k in BLOCKS])), ",")
+    d = df.withColumn("body", strip(got["section"])).withColumn("summary", strip(got["summary"])).withColumn("metadata", F.map_from_entries(last))
+    for k in NUMBERS:
+        d = d.withColumn(k, F.try_element_at("metadata", F.lit(k)).try_cast("int"))
+    for k in LISTS:
+        d = d.withColumn(k, F.filter(F.transform(F.split(F.try_element_at("metadata", F.lit(k)), ","), lambda x: F.trim(x)), lambda x: x != ""))
+    problem = (
+        F.when(F.coalesce(strip(t), F.lit("")) == "", "empty response").when(~F.coalesce(F.trim(section_id).rlike(r"^s\d+$"), F.lit(False)), "section id")
+        .when(lacking != "", F.concat(F.lit("missing "), lacking)).when(F.col("body") == "", "empty section").when(F.col("summary") == "", "empty summary")
+    )
+    return d.withColumn("problem", problem)
+
+
+def front_matter(c: Column) -> Column:
+    """The front matter as a map of its lines' keys and values, quotes off; null where a text has none."""
+    raw = F.regexp_extract(c, r"(?s)^---\n(.*?)\n---\n", 1)
+    pairs = F.transform(F.regexp_extract_all(raw, F.lit(r"(?m)^([A-Za-z_]\w*):[ \t]*(.*)$"), 0), lambda x: F.struct(F.regexp_extract(x, r"^(\w+):", 1).alias("k"), F.regexp_replace(F.regexp_replace(x, r"^\w+:[ \t]*", ""), r"^[\"'](.*)[\"']$", "$1").alias("v")))
+    unique = F.filter(pairs, lambda p, i: F.array_position(F.transform(pairs, lambda q: q["k"]), p["k"]) == i + 1)
+    return F.when(c.rlike(r"(?s)^---\n(.*?)\n---\n"), F.map_from_entries(unique))
 
 
 def sources_table(chunks: DataFrame, cited: DataFrame, scope: str) -> DataFrame:
@@ -82,18 +127,36 @@ def sources_table(chunks: DataFrame, cited: DataFrame, scope: str) -> DataFrame:
     return rows.select(scope, "chunk_id", "source_url", a.alias("sec"), b.alias("num"), line.alias("line"))
 
 
-def stitch(sections: DataFrame, table_rows: DataFrame, scope: str, topic: Column, date: str) -> DataFrame:
-    """(scope, document): front matter, the sections in plan order under their titles, the sources cited.
+#: Counters of a verification report that the appendix lists, in this order.
+COUNTERS = {"fuzzy": ["PASS", "AMBIGUOUS", "FAIL", "MISSING_CHUNK"], "judge": ["SUPPORTED", "PARTIAL", "CONTRADICTED", "UNRELATED"]}
 
-    ``sections`` has scope, ord, title and body; sections without a body are left out.
+
+def appendix(scope: str, documents: DataFrame, counters: DataFrame | None, date: str) -> DataFrame:
+    """(scope, appendix): what the verification found. ``counters`` has (scope, stage, verdict, n); stages without a row are left out."""
+    intro = F.lit(f"\n## Verification\n\nThis document was produced by the research chain on {date}.\n")
+    if counters is None:
+        return documents.select(scope, intro.alias("appendix"))
+    place = F.create_map(*[F.lit(x) for k, names in COUNTERS.items() for i, v in enumerate(names) for x in (f"{k}/{v}", i)])
+    own = counters.withColumn("_o", F.try_element_at(place, F.concat_ws("/", "stage", "verdict"))).where("_o is not null")
+    listed = own.groupBy(scope, "stage").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_o", F.concat(F.lit("  - "), "verdict", F.lit(": "), "n").alias("t")))), lambda x: x["t"]), "\n").alias("lines"))
+    part = F.concat(F.lit("### "), F.initcap("stage"), F.lit("\n"), "lines", F.lit("\n"))
+    text = listed.groupBy(scope).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("stage", part.alias("t")))), lambda x: x["t"]), "\n").alias("_a"))
+    return documents.select(scope).join(text, scope, "left").select(scope, F.concat(intro, F.coalesce(F.concat(F.lit("\n"), "_a"), F.lit(""))).alias("appendix"))
+
+
+def stitch(sections: DataFrame, table_rows: DataFrame, scope: str, topic: Column, date: str, tool: str = "in-session", counters: DataFrame | None = None) -> DataFrame:
+    """(scope, document): front matter, the sections in plan order under their titles, the sources cited, the verification.
+
+    ``sections`` has scope, ord, title and body; sections without a body are left out. The topic stands in quotes as
+    it is, the cost is null.
     """
     join = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(c)), lambda x: x["t"]), "\n")
-    text = F.struct("ord", F.concat(F.lit("## "), "title", F.lit("\n\n"), "body", F.lit("\n")).alias("t"))
+    text = F.struct("ord", F.concat(F.lit("## "), "title", F.lit("\n\n"), strip(F.col("body")), F.lit("\n")).alias("t"))
     main = sections.where("body is not null").groupBy(scope).agg(join(text).alias("main"), F.first(topic, True).alias("topic"))
     refs = table_rows.groupBy(scope).agg(join(F.struct("sec", "num", "chunk_id", F.col("line").alias("t"))).alias("refs"), F.count_distinct("source_url").alias("n"))
-    head = F.concat(F.lit("---\ntopic: "), "topic", F.lit(f"\ndate: {date}\nsources_count: "), F.coalesce("n", F.lit(0)), F.lit("\n---\n"))
-    end = F.concat(F.lit("\n## Sources\n\n| ID | URL | Title | Accessed |\n|---|---|---|---|\n"), F.coalesce("refs", F.lit("")), F.lit("\n"))
-    return main.join(refs, scope, "left").select(scope, F.concat(head, "main", end).alias("document"))
+    head = F.concat(F.lit('---\ntopic: "'), "topic", F.lit(f'"\ndate: "{date}"\nresearch_tool: "{tool}"\ncost: null\nsources_count: '), F.coalesce("n", F.lit(0)), F.lit("\n---\n\n"))
+    end = F.concat(F.lit("\n## Sources\n\n| ID | URL | Title | Access date |\n|----|-----|-------|-------------|\n"), F.coalesce(F.concat("refs", F.lit("\n")), F.lit("")))
+    return main.join(refs, scope, "left").join(appendix(scope, main, counters, date), scope).select(scope, F.concat(head, "main", end, "appendix").alias("document"))
 
 
 def validate(df: DataFrame, key: str, text: str, cfg: RetrievalConfig | None = None) -> DataFrame:
@@ -138,3 +201,18 @@ def plan_problems(plan: DataFrame) -> DataFrame:
 def target_words(total: Column, sections: Column) -> Column:
     """Words a section should have: an even share, rounded to fifty."""
     return (F.round(total / sections / 50) * 50).cast("int")
+
+
+def in_band(words: Column, target: Column, band: float = 0.25) -> Column:
+    """Whether a section's words are within ``band`` of its target."""
+    return F.abs(words - target) <= band * target
+
+
+def per_source_cap(found: DataFrame, question: str, url: str, order: list[str], each: int = 5, most: int = 50, scope: str | None = None) -> DataFrame:
+    """The first ``each`` URLs of each question, of these the first ``most`` of the scope by place, question and URL."""
+    by = [scope] if scope else []
+    place = F.row_number().over(W.partitionBy(*by, question).orderBy(*order, url))
+    near = found.withColumn("place", place).where(F.col("place") <= each)
+    if not by:
+        return near.orderBy("place", question, url).limit(most)
+    return near.withColumn("_k", F.row_number().over(W.partitionBy(*by).orderBy("place", question, url))).where(F.col("_k") <= most).drop("_k")

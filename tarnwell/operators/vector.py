@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import functools
-import math
+import hashlib
+import re
 from typing import Protocol
 
 import numpy as np
@@ -50,31 +51,39 @@ def topk(base: DataFrame, key: str, vector: str, query: DataFrame, query_vector:
 def exact_knn(base: DataFrame, queries: DataFrame, key: str, vector: str, k: int, digits: int = 6, block: int = QUERY_BLOCK) -> DataFrame:
     """(query_id, key, score, rank) by brute force: every query against every row, in blocks of queries.
 
-    Each block of queries goes to the executors as a matrix of bounded size; each task keeps ``k`` rows for each query.
+    Each block of queries goes to the executors as a matrix of about ``block`` rows; a task scores its rows batch by
+    batch and keeps ``k`` of them a query, so what is shuffled depends on tasks and queries, not on rows.
     """
-    ids = [r[0] for r in queries.select(key).orderBy(key).toLocalIterator()]
+    q = queries.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).select(key, vector)
+    blocks = max(1, -(-q.count() // block))
 
-    def one(part: list[int]) -> DataFrame:
-        rows = queries.where(F.col(key).isin(part)).select(key, vector).toPandas()
+    def one(part: DataFrame) -> DataFrame | None:
+        rows = part.toPandas()
+        if not len(rows):
+            return None
         qid = rows[key].to_numpy()
-        q = np.stack(rows[vector].to_numpy()).astype(np.float64)
-        q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
+        m = np.stack(rows[vector].to_numpy()).astype(np.float64)
+        m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
 
         def run(batches):
-            best: list[tuple] = []
+            score, ids = np.empty((len(m), 0)), np.empty((len(m), 0), np.int64)
             for b in batches:
-                if b.num_rows:
-                    x = np.stack(b.column(1).to_numpy(zero_copy_only=False)).astype(np.float64)
-                    s = np.round(q @ (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)).T, digits)
-                    own = b.column(0).to_numpy()
-                    for r in range(len(qid)):
-                        top = np.lexsort((own, -s[r]))[: k + 1]
-                        best += [(int(qid[r]), int(own[t]), float(s[r, t])) for t in top if own[t] != qid[r]]
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in best], pa.int64()), pa.array([x[1] for x in best], pa.int64()), pa.array([x[2] for x in best], pa.float64())], names=["query_id", key, "score"])
-
-        return base.select(key, vector).mapInArrow(run, f"query_id long, {key} long, score double")
-
-    parts = [one(ids[i : i + block]) for i in range(0, len(ids), block)]
+                if not b.num_rows:
+                    continue
+                x = np.stack(b.column(1).to_numpy(zero_copy_only=False)).astype(np.float64)
+                s = np.round(m @ (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)).T, digits)
+                own = b.column(0).to_numpy()
+                s[qid[:, None] == own] = -np.inf
+                score, ids = np.hstack([score, s]), np.hstack([ids, np.broadcast_to(own, s.shape)])
+                if score.shape[1] > k:
+                    best = np.lexsort((ids, -score), axis=1)[:, :k]
+                    score, ids = np.take_along_axis(score, best, 1), np.take_along_axis(ids, best, 1)
+            at = np.isfinite(score)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qid, at.sum(axis=1)).astype(np.int64)), pa.array(ids[at]), pa.array(score[at])], names=["query_id", key, "score"])
+
+        return base.where(F.col(vector).isNotNull()).select(key, vector).mapInArrow(run, f"query_id long, {key} long, score double")
+
+    parts = [d for i in range(blocks) if (d := one(q.where(F.pmod(F.xxhash64(key), F.lit(blocks)) == i) if blocks > 1 else q)) is not None]
     if not parts:
         return base.sparkSession.createDataFrame([], f"query_id long, {key} long, score double, rank int")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), key))
@@ -148,24 +157,24 @@ class Encoder(Protocol):
 
 
 class HashEncoder:
-    """The default encoder: signed feature hashing of words, unit length. Deterministic, without a model."""
+    """The default encoder: signed feature hashing of words (the first 32 bits of their MD5), unit length. Deterministic, without a model."""
 
     def __init__(self, dim: int = 64) -> None:
         self.dim = dim
 
     def encode(self, texts: list[str]) -> np.ndarray:
-        import re
-        import zlib
-
-        out = np.zeros((len(texts), self.dim), np.float32)
+        out = np.zeros((len(texts), self.dim))
         for i, t in enumerate(texts):
             for w in re.findall(r"\w+", t.lower()):
-                h = zlib.crc32(w.encode())
+                h = _word_hash(w)
                 out[i, h % self.dim] += 1 if h >> 31 else -1
-            n = math.sqrt(float((out[i] ** 2).sum()))
-            if n:
-                out[i] /= n
-        return out
+        n = np.linalg.norm(out, axis=1, keepdims=True)
+        return (out / np.where(n > 0, n, 1)).astype(np.float32)
+
+
+@functools.lru_cache(maxsize=200_000)
+def _word_hash(word: str) -> int:
+    return int.from_bytes(hashlib.md5(word.encode("utf-8", "surrogatepass")).digest()[:4], "big")
 
 
 def embed(df: DataFrame, text: str, encoder: Encoder, out: str = "embedding", batch: int = 64) -> DataFrame:

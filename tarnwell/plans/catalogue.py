@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarnwell.plans import drift, events, knowledge, research, retrieval  # noqa: F401  (they register their queries)
+from tarnwell.plans import chunkers, drift, events, knowledge, operations, research, retrieval, searching  # noqa: F401  (they register their queries)
 from tarnwell.plans.registry import QUERIES, SQL
 
 FLAGSHIP = "hybrid_search"

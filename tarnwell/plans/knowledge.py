@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tarnwell.functions.text import approx_tokens, file_title, normal, slug as slug_of, space_tokens, strip, tokens
-from tarnwell.operators import chunking, graph
+from tarnwell.operators import graph
 from tarnwell.plans.common import CH, ENT, SRC, WORD, chunks, entities, slug, sources
 from tarnwell.plans.registry import query
 from tarnwell.sources.tables import project_slug, table
@@ -31,35 +31,6 @@ def sentence_split(spark, folder):
     return table(spark, folder, "documents").where("text is not null").select("doc_id", F.size(F.split("text", r"(?<=[.!?])\s+")).alias("sentences"))
 
 
-@query(r"""SELECT doc_id, len(list_filter(regexp_split_to_array(text, '\n\s*\n'), lambda p: regexp_replace(p, '^\s+|\s+$', '', 'g') <> ''))::INTEGER AS paragraphs FROM documents WHERE text IS NOT NULL AND text NOT LIKE '%```%'""")
-def paragraph_split(spark, folder):
-    d = table(spark, folder, "documents").where("text is not null and text not like '%```%'")
-    return d.select("doc_id", F.size(F.filter(F.split("text", r"\n\s*\n"), lambda p: strip(p) != "")).alias("paragraphs"))
-
-
-@query()
-def index_chunks(spark, folder):
-    return chunking.explode_text(table(spark, folder, "documents"), "doc_id", "text", "index")
-
-
-@query("SELECT true AS within, 0::BIGINT AS outside")
-def chunk_cap_invariants(spark, folder):
-    """Whether every chunk of the index chunker has 100 to 2,000 characters."""
-    n = F.char_length("content")
-    return index_chunks(spark, folder).agg(F.min(n.between(100, 2000)).alias("within"), F.count_if(~n.between(100, 2000)).alias("outside"))
-
-
-@query()
-def research_chunks(spark, folder):
-    c = chunking.explode_text(table(spark, folder, "documents"), "doc_id", "text", "research")
-    return chunking.section_ids(c.withColumn("section", F.concat(F.lit("s"), F.col("doc_id"))), "section", ["chunk_index"]).select("chunk_id", "doc_id", "chunk_index", "token_count")
-
-
-@query()
-def decomposed_titles(spark, folder):
-    return chunking.explode_text(sources(spark, folder), "id", "title", "decompose")
-
-
 @query(r"""WITH t AS (SELECT doc_id, title, regexp_replace(regexp_replace(lower(title), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS s FROM documents WHERE title IS NOT NULL)
     SELECT doc_id, CASE WHEN s = '' THEN 'project' ELSE regexp_replace(substr(s, 1, 50), '-+$', '') END AS slug,
     substr(regexp_replace(regexp_replace(regexp_replace(title, '[\\/:*?"<>|#^\[\]]', ' ', 'g'), '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g'), 1, 80) AS file_title FROM t""")
@@ -83,8 +54,8 @@ def normalized_names(spark, folder):
     return entities(spark, folder).where("name is not null").select("id", normal(F.col("name")).alias("normalized_name"))
 
 
-_M = rf"""m AS (SELECT id, unnest(range(len(w))) AS ord, unnest(w) AS name FROM (SELECT id, list_distinct_ordered AS w FROM (SELECT id, list_reduce(list_transform(regexp_extract_all(substr(content, 1, 8000), '\p{{Lu}}[\p{{L}}\p{{N}}]{{2,}}'), lambda x: [x]),
-    lambda a, b: CASE WHEN list_contains(a, b[1]) THEN a ELSE a || b END) AS list_distinct_ordered FROM {CH} WHERE regexp_matches(substr(content, 1, 8000), '\p{{Lu}}[\p{{L}}\p{{N}}]{{2,}}')))),
+_M = rf"""m AS (SELECT id, unnest(range(len(w))) AS ord, unnest(w) AS name FROM (SELECT id, list_distinct_ordered AS w FROM (SELECT id, list_reduce(list_transform(regexp_extract_all(content, '\p{{Lu}}[\p{{L}}\p{{N}}]{{2,}}'), lambda x: [x]),
+    lambda a, b: CASE WHEN list_contains(a, b[1]) THEN a ELSE a || b END) AS list_distinct_ordered FROM {CH} WHERE regexp_matches(content, '\p{{Lu}}[\p{{L}}\p{{N}}]{{2,}}')))),
     mm AS (SELECT id, ord, name, trim(regexp_replace(lower(name), '\s+', ' ', 'g')) AS n FROM m)"""
 
 
@@ -102,10 +73,10 @@ def chunk_entity_links(spark, folder):
     return _mentions(spark, folder).select("id", "normalized_name").distinct()
 
 
-@query(f"WITH {_M} SELECT n AS normalized_name, arg_min(name, id * 100000 + ord) AS name, min(id) AS chunk_id FROM mm GROUP BY n")
+@query(f"WITH {_M} SELECT n AS normalized_name, arg_min(name, {{'id': id, 'ord': ord}}) AS name, min(id) AS chunk_id FROM mm GROUP BY n")
 def entity_upsert_first(spark, folder):
     """One entity for each normalised name, as its first chunk spells it."""
-    m = _mentions(spark, folder).select("normalized_name", "name", F.col("id").alias("chunk_id"), (F.col("id") * 100000 + F.col("ord")).alias("at"))
+    m = _mentions(spark, folder).select("normalized_name", "name", F.col("id").alias("chunk_id"), F.struct("id", "ord").alias("at"))
     return graph.upsert_first(None, m, ["normalized_name"], "at").select("normalized_name", "name", "chunk_id")
 
 

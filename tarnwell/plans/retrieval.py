@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tarnwell.config import RetrievalConfig
-from tarnwell.functions.text import blend, cosine, normal, tokens, usable
+from tarnwell.functions.text import cosine, normal, tokens, usable
 from tarnwell.operators import evaluate, fulltext, fusion, vector
 from tarnwell.plans.common import CEN, CH, SRC, VEC, chunks, ok, slug, sources, vectors, words
 from tarnwell.plans.registry import query
@@ -113,40 +113,33 @@ def ema_centroid(spark, folder):
     return c.select("label", F.posexplode("centroid").alias("pos", "v")).select("label", "pos", F.round("v", 6).alias("value"))
 
 
-@query(f"""WITH c AS {CH}, s AS {SRC}, o AS (SELECT c.id, {slug("s.project")} AS slug, c.embedding::DOUBLE[] AS e FROM c JOIN s ON c.source_id = s.id
-        WHERE {slug("s.project")} <> {slug("c.project")} AND {ok("c.embedding")}),
-    f AS (SELECT slug, arg_min(e, id) AS e, count(*) AS overrides FROM o GROUP BY slug)
-    SELECT p.slug, f.overrides, round(list_sum(list_transform(CASE WHEN {ok("p.centroid_embedding")} THEN list_transform(list_zip(p.centroid_embedding::DOUBLE[], f.e), lambda z: 0.8 * z[1] + 0.2 * z[2]) ELSE f.e END, lambda x: abs(x))), 3) AS l1
-    FROM projects p JOIN f USING (slug)""")
-def override_blend(spark, folder):
-    """Chunks filed elsewhere than their source correct that project's centroid, the first of each by 0.2."""
-    c, s = chunks(spark, folder).where(usable(F.col("embedding"))), sources(spark, folder)
-    o = c.join(s.select(F.col("id").alias("source_id"), project_slug(F.col("project")).alias("slug")), "source_id").where(F.col("slug") != project_slug(F.col("project")))
-    f = o.groupBy("slug").agg(F.min_by(F.transform("embedding", lambda x: x.cast("double")), "id").alias("e"), F.count("*").alias("overrides"))
-    p = table(spark, folder, "projects").select("slug", F.when(usable(F.col("centroid_embedding")), F.transform("centroid_embedding", lambda x: x.cast("double"))).alias("c"))
-    new = blend(F.col("c"), F.col("e"), RetrievalConfig().ema_override)
-    return p.join(f, "slug").select("slug", "overrides", F.round(F.aggregate(new, F.lit(0.0), lambda a, x: a + F.abs(x)), 3).alias("l1"))
-
-
 @query("SELECT slug, coalesce(len(centroid_embedding), -1)::INTEGER AS dim FROM projects WHERE archived = 0")
 def active_projects(spark, folder):
     """Projects that take documents; a missing centroid stays missing."""
     return table(spark, folder, "projects").where("archived = 0").select("slug", F.when(F.col("centroid_embedding").isNull(), -1).otherwise(F.size("centroid_embedding")).alias("dim"))
 
 
-@query()
+@query(f"SELECT id, round(list_sum(list_transform(range(1, 65), lambda i: i * embedding[i])), 5) AS total, 256::INTEGER AS bytes FROM {VEC}")
 def vector_codec(spark, folder):
-    """Vectors to float32 blobs and back: rows whose vector changed on the way (none)."""
-    v = vectors(spark, folder).select("id", "embedding")
-    back = vector.from_blob(vector.to_blob(v, "embedding", 64), "embedding", 64)
-    return v.join(back.select("id", F.col("embedding").alias("b")), "id").groupBy((F.col("embedding") == F.col("b")).alias("same")).agg(F.count("*").alias("n"))
+    """Vectors to float32 blobs and back: a sum over the parts of what came back, and the length of the blob."""
+    blob = vector.to_blob(vectors(spark, folder).select("id", F.transform("embedding", lambda x: x.cast("float")).alias("embedding")), "embedding", 64)
+    back = vector.from_blob(blob.withColumn("b", F.octet_length("embedding")), "embedding", 64)
+    return back.select("id", F.round(F.aggregate(F.transform("embedding", lambda x, i: x.cast("double") * (i + 1)), F.lit(0.0), lambda s, x: s + x), 5).alias("total"), F.col("b").alias("bytes"))
+
 
+def _hashed(key: str, rel: str, text: str) -> str:
+    """(key, vec): the hash encoder's vectors of a relation's texts, written with unnested words."""
+    return f"""(SELECT {key}, list_transform(v, lambda x: (x / CASE WHEN n = 0 THEN 1 ELSE n END)::FLOAT::DOUBLE) AS vec FROM (SELECT {key}, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS n FROM (
+        SELECT {key}, list(coalesce(s, 0)::DOUBLE ORDER BY pos) AS v FROM (SELECT k.{key}, pos, s FROM (SELECT DISTINCT {key} FROM {rel} WHERE {text} IS NOT NULL) k CROSS JOIN range(64) r(pos) LEFT JOIN (
+            SELECT {key}, h % 64 AS pos, sum(CASE WHEN h >= 2147483648 THEN 1 ELSE -1 END) AS s FROM (SELECT {key}, ('0x' || left(md5(w), 8))::BIGINT AS h FROM (SELECT {key}, unnest({words(text)}) AS w FROM {rel})) GROUP BY ALL) c USING ({key}, pos)) GROUP BY {key})))"""
 
-@query()
+
+@query(f"""SELECT doc_id, round(list_sum(list_transform(range(1, 65), lambda i: i * vec[i])), 3) + 0.0 AS total, len(list_filter(vec, lambda x: x <> 0))::INTEGER AS filled FROM {_hashed("doc_id", "(SELECT DISTINCT doc_id, text FROM documents)", "text")}""")
 def embed_documents(spark, folder):
-    """Every document's vector by the default encoder; null texts have none."""
-    d = vector.embed(table(spark, folder, "documents").select("doc_id", "text"), "text", vector.HashEncoder())
-    return d.select("doc_id", F.size("embedding").alias("dim"), F.round(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x), 3).alias("norm2"))
+    """Every document's vector by the default encoder: a sum over its parts, and how many aren't zero; null texts have none."""
+    d = vector.embed(table(spark, folder, "documents").select("doc_id", "text").distinct(), "text", vector.HashEncoder()).where("text is not null")
+    total = F.aggregate(F.transform("embedding", lambda x, i: x.cast("double") * (i + 1)), F.lit(0.0), lambda s, x: s + x)
+    return d.select("doc_id", (F.round(total, 3) + 0.0).alias("total"), F.size(F.filter("embedding", lambda x: x != 0)).alias("filled"))
 
 
 # keyword search
@@ -193,7 +186,39 @@ def bm25_terms_topk(spark, folder):
     return fulltext.bm25_terms(chunks(spark, folder), "id", "content", QUESTION, 40)
 
 
-@query()
+_C, _V = "[^aeiou][^aeiouy]*", "[aeiouy][aeiou]*"
+_M0, _M1, _V0 = f"^({_C})?{_V}{_C}", f"^({_C})?{_V}{_C}({_V}{_C})", f"^({_C})?[aeiouy]"
+_ONE = f"^({_C})?{_V}{_C}({_V})?$"
+_CVC = "^[^aeiou][^aeiouy]*[aeiouy][^aeiouwxy]$"
+_DOUBLE = "(bb|cc|dd|ff|gg|hh|jj|kk|mm|nn|pp|qq|rr|tt|vv|ww|xx|yy)$"
+
+
+def _ending(col: str, table: dict[str, str], measure: str) -> str:
+    """Longest ending first: an ending that stands there decides, whether its stem is long enough or not."""
+    return "CASE " + " ".join(f"WHEN ends_with({col}, '{e}') THEN CASE WHEN regexp_matches(left({col}, length({col}) - {len(e)}), '{measure}') THEN left({col}, length({col}) - {len(e)}) || '{r}' ELSE {col} END" for e, r in sorted(table.items(), key=lambda x: -len(x[0]))) + f" ELSE {col} END"
+
+
+_STEP4 = "CASE " + " ".join(
+    f"WHEN ends_with(w3, '{e}') THEN CASE WHEN regexp_matches(left(w3, length(w3) - {len(e)}), '{_M1}')" + (" AND regexp_matches(w3, '[st]ion$')" if e == "ion" else "") + f" THEN left(w3, length(w3) - {len(e)}) ELSE w3 END" for e in sorted(fulltext.STEP4, key=len, reverse=True)
+) + " ELSE w3 END"
+
+
+def _porter(vocabulary: str) -> str:
+    """CTEs that stem the words ``w`` of a relation by the published rules, as regular expressions on consonant and vowel runs."""
+    return f"""st0 AS (SELECT DISTINCT w FROM {vocabulary}), st1 AS (SELECT w, CASE WHEN w LIKE '%sses' OR w LIKE '%ies' THEN left(w, length(w) - 2) WHEN w LIKE '%s' AND w NOT LIKE '%ss' THEN left(w, length(w) - 1) ELSE w END AS a FROM st0 WHERE length(w) > 2),
+    st2 AS (SELECT w, a, CASE WHEN a LIKE '%eed' THEN NULL WHEN a LIKE '%ed' AND regexp_matches(left(a, length(a) - 2), '{_V0}') THEN left(a, length(a) - 2) WHEN a LIKE '%ing' AND regexp_matches(left(a, length(a) - 3), '{_V0}') THEN left(a, length(a) - 3) END AS k FROM st1),
+    st3 AS (SELECT w, CASE WHEN a LIKE '%eed' THEN CASE WHEN regexp_matches(left(a, length(a) - 3), '{_M0}') THEN left(a, length(a) - 1) ELSE a END WHEN k IS NULL OR k = '' THEN a WHEN regexp_matches(k, '(at|bl|iz)$') THEN k || 'e'
+        WHEN regexp_matches(k, '{_DOUBLE}') THEN left(k, length(k) - 1) WHEN regexp_matches(k, '{_ONE}') AND regexp_matches(k, '{_CVC}') THEN k || 'e' ELSE k END AS b FROM st2),
+    st4 AS (SELECT w, CASE WHEN b LIKE '%y' AND regexp_matches(left(b, length(b) - 1), '{_V0}') THEN left(b, length(b) - 1) || 'i' ELSE b END AS w1 FROM st3),
+    st5 AS (SELECT w, {_ending("w1", fulltext.STEP2, _M0)} AS w2 FROM st4), st6 AS (SELECT w, {_ending("w2", fulltext.STEP3, _M0)} AS w3 FROM st5), st7 AS (SELECT w, {_STEP4} AS w4 FROM st6),
+    st8 AS (SELECT w, CASE WHEN w4 LIKE '%e' AND (regexp_matches(left(w4, length(w4) - 1), '{_M1}') OR regexp_matches(left(w4, length(w4) - 1), '{_ONE}') AND NOT regexp_matches(left(w4, length(w4) - 1), '{_CVC}')) THEN left(w4, length(w4) - 1) ELSE w4 END AS w5 FROM st7),
+    stem AS (SELECT w, CASE WHEN w5 LIKE '%ll' AND regexp_matches(w5, '{_M1}') THEN left(w5, length(w5) - 1) ELSE w5 END AS s FROM st8 UNION ALL SELECT w, w FROM st0 WHERE length(w) <= 2)"""
+
+
+@query(f"""WITH cw AS (SELECT id, unnest({words("strip_accents(content)")}) AS w FROM {CH} WHERE content IS NOT NULL), qw AS (SELECT DISTINCT unnest({words(f"'{QUESTION}'")}) AS w), {_porter("(SELECT w FROM cw UNION SELECT w FROM qw)")},
+    t AS (SELECT id, s AS term FROM cw JOIN stem USING (w)), q AS (SELECT DISTINCT s AS term FROM qw JOIN stem USING (w)), l AS (SELECT id, count(*) AS dl FROM cw GROUP BY id), al AS (SELECT id, coalesce(dl, 0) AS dl FROM {CH} LEFT JOIN l USING (id) WHERE content IS NOT NULL),
+    f AS (SELECT term, id, count(*) AS tf FROM t JOIN q USING (term) GROUP BY ALL), d AS (SELECT term, count(*) AS n FROM f GROUP BY term), st AS (SELECT count(*) AS n_all, avg(dl) AS avgdl FROM al)
+    SELECT id, round(sum(greatest(ln((n_all - n + 0.5) / (n + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM f JOIN d USING (term) JOIN al USING (id), st GROUP BY id ORDER BY score DESC, id LIMIT 40""")
 def bm25_porter_topk(spark, folder):
     """As ``bm25_terms_topk``, on folded and stemmed words."""
     return fulltext.bm25_terms(fulltext.stemmed(chunks(spark, folder).select("id", "content"), "content"), "id", "content", fulltext.fold(QUESTION), 40)
@@ -209,15 +234,23 @@ _LISTS = f"""{_TERMS}, v AS {VEC}, q0 AS (SELECT v.embedding AS e FROM v JOIN b
 _FUSED = "f1 AS (SELECT id, round(sum(w / (60 + rank)), 9) AS rrf_score FROM (SELECT id, rank, 0.4 AS w FROM lv UNION ALL SELECT id, rank, 0.6 FROM lb UNION ALL SELECT id, rank, 0.35 FROM lg) GROUP BY id)"
 
 
+GRAPH = ["lock", "gate", "towpath"]
+
+
 def _lists(spark, folder):
-    """Vector, keyword and graph lists for the question; the best keyword hit's vector stands for the question's."""
-    c = chunks(spark, folder)
-    b = fulltext.bm25_terms(c, "id", "content", QUESTION, 40)
-    v = vectors(spark, folder)
-    q = v.join(b.select("id", F.col("score").alias("s")), "id").orderBy(F.desc("s"), "id").limit(1).select(F.col("embedding").alias("q"))
+    """Vector, keyword and graph lists for the question; the best keyword hit's vector stands for the question's.
+
+    All texts are split once, for the frequencies of the question's words and of the graph's names.
+    """
+    asked = fulltext.words_of(QUESTION)
+    own = asked + [w for w in GRAPH if w not in asked]
+    tf = fulltext.frequencies(chunks(spark, folder).select("id", "content"), "id", "content", own)
+    b = fulltext.scored(tf.withColumn("tf", F.slice("tf", 1, len(asked))), "id", len(asked)).orderBy(F.desc("score"), "id").limit(40)
+    v = written(vectors(spark, folder).select("id", "embedding"), "vectors")
+    q = v.join(F.broadcast(b.select("id", F.col("score").alias("s"))), "id").orderBy(F.desc("s"), "id").limit(1).select(F.col("embedding").alias("q"))
     vt = v.crossJoin(F.broadcast(q)).select("id", F.round(cosine(F.col("embedding"), F.col("q")), 6).alias("score")).orderBy(F.desc("score"), "id").limit(40)
-    hits = F.size(F.array_intersect(F.array(*[F.lit(x) for x in ("lock", "gate", "towpath")]), tokens(F.col("content"))))
-    g = c.where("content is not null").select("id", hits.alias("score")).where("score > 0").orderBy(F.desc("score"), "id").limit(20)
+    hits = sum((F.col("tf")[own.index(w)] > 0).cast("int") for w in GRAPH)
+    g = tf.select("id", hits.alias("score")).where("score > 0").orderBy(F.desc("score"), "id").limit(20)
     return [fusion.ranked(x, "id", "score") for x in (vt, b, g)]
 
 
@@ -271,9 +304,11 @@ _KNN = f"""q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS e, label AS q
 def _judged(spark, folder):
     e = table(spark, folder, "embeddings")
     ranked = vector_self_knn(spark, folder).select("query_id", F.col("vec_id").alias("item"), "rank")
-    label = e.select(F.col("vec_id").alias("item"), "label")
-    expected = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "label").join(label, "label").where("item != query_id").select("query_id", "item")
-    return evaluate.metrics(ranked, expected)
+    own, other = e.select(F.col("vec_id").alias("query_id"), F.col("label").alias("ql")), e.select(F.col("vec_id").alias("item"), "label")
+    sizes = e.groupBy("label").agg((F.count("*") - 1).alias("expected"))
+    n = own.where("query_id % 50 = 0").join(sizes, own.ql == sizes.label).select("query_id", "expected")
+    relevant = ranked.join(other, "item").join(own, "query_id").where("ql = label").select("query_id", "rank")
+    return evaluate.scored(relevant, n.where("expected > 0"))
 
 
 @query(f"""WITH {_KNN} SELECT query_id, round(coalesce((SELECT sum(1 / log2(rank + 1)) FROM k WHERE k.query_id = x.query_id AND rel), 0) / nullif((SELECT sum(1 / log2(i + 1)) FROM range(1, least(expected, 10)::BIGINT + 1) r(i)), 0), 6) AS ndcg FROM x""")
@@ -316,21 +351,6 @@ def classification_accuracy(spark, folder):
     return confusion(spark, folder).agg(F.round(F.sum(F.when(F.col("label") == F.col("guess"), F.col("n")).otherwise(0)) / F.sum("n"), 6).alias("accuracy"), F.sum("n").alias("n"))
 
 
-@query()
-def ablation(spark, folder):
-    """Each component switched off in turn: how many of the full configuration's results stay."""
-    lists, full = [written(x, "list") for x in _lists(spark, folder)], RetrievalConfig()
-    parts = {"vector": 0, "bm25": 1, "graph": 2}
-    out = None
-    base = fusion.ranked(fusion.rrf(lists, [full.rrf_weights[p] for p in parts], "id"), "id", "rrf_score").where("rank <= 10").select("id")
-    for name, cfg in full.ablations().items():
-        on = [p for p in parts if getattr(cfg, p)]
-        got = fusion.rrf([lists[parts[p]] for p in on], [cfg.rrf_weights[p] for p in on], "id") if cfg.rrf else fusion.first_list([lists[parts[p]] for p in on], "id").withColumn("rrf_score", -F.col("rank"))
-        top = fusion.ranked(got, "id", "rrf_score").where("rank <= 10").join(base, "id", "left_semi").agg(F.count("*").alias("kept")).select(F.lit(name).alias("run"), "kept")
-        out = top if out is None else out.unionByName(top)
-    return out
-
-
 @query(f"""SELECT id, round(len(list_intersect({words("title")}, {words(f"'{QUESTION}'")})) , 0)::INTEGER AS shared FROM {SRC} WHERE title IS NOT NULL""")
 def title_overlap(spark, folder):
     """How many words of the question a source's title has."""
@@ -341,14 +361,3 @@ def title_overlap(spark, folder):
 @query("SELECT label, min(vec_id) AS first, max(vec_id) AS last, count(*) AS n FROM embeddings GROUP BY label")
 def label_extent(spark, folder):
     return table(spark, folder, "embeddings").groupBy("label").agg(F.min("vec_id").alias("first"), F.max("vec_id").alias("last"), F.count("*").alias("n"))
-
-
-
-@query()
-def batched_search(spark, folder):
-    """The titles of every fiftieth source as queries, all searched at once over all chunks."""
-    from tarnwell.search import Store, search
-
-    c = chunks(spark, folder).select("id", project_slug(F.col("project")).alias("project"), "source_id", "chunk_index", "content", "token_count", F.when(usable(F.col("embedding")), F.col("embedding")).alias("embedding"))
-    q = sources(spark, folder).where("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("title").alias("text"))
-    return search(q, Store(c)).select("query_id", "id", "rank", F.round("rrf_score", 6).alias("rrf_score"), "rerank_score")

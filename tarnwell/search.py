@@ -4,14 +4,17 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tarnwell.config import RetrievalConfig
-from tarnwell.functions.text import cosine, tokens
+from tarnwell.functions.text import tokens
 from tarnwell.operators import chunking, fulltext, graph
 from tarnwell.operators.vector import Encoder, HashEncoder, embed, overlap_score
+from tarnwell.session import written
 from tarnwell.sources.sinks import missing_projects, replace_sources
 
 #: Queries sent to the executors at once; more are searched in blocks of this many.
@@ -27,9 +30,9 @@ class Store:
     postings: DataFrame | None = None
 
     def indexed(self) -> Store:
-        """With the derived tables filled in."""
-        links = self.links if self.links is not None else graph.mentions(self.chunks, "id", "content").select("id", "normalized_name").distinct()
-        postings = self.postings if self.postings is not None else fulltext.index(self.chunks, "id", "content")
+        """With the derived tables filled in; what is missing is made once and kept in the shared folder."""
+        links = self.links if self.links is not None else written(graph.mentions(self.chunks, "id", "content").select("id", "normalized_name").distinct(), "links")
+        postings = self.postings if self.postings is not None else written(fulltext.index(self.chunks, "id", "content").repartition("term"), "postings")
         return Store(self.chunks, links, postings)
 
 
@@ -57,34 +60,73 @@ def decomposed(queries: DataFrame, cfg: RetrievalConfig) -> DataFrame:
 
 
 def by_vector(q: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
-    """Nearest chunks of each query; ``q`` is a block of queries (query_id, vec) of bounded size."""
-    s = chunks.where("embedding is not null").select("id", "embedding").crossJoin(F.broadcast(q.select("query_id", "vec")))
-    return _top(s.select("query_id", "id", F.round(cosine(F.col("embedding"), F.col("vec")), 6).alias("score")).where("score is not null"), "score", k)
+    """Nearest chunks of each query; ``q`` is a block of queries (query_id, vec) of bounded size.
+
+    The block goes to the executors as one matrix. Each task multiplies its chunks with it batch by batch and keeps
+    ``k`` rows a query, so what is shuffled depends on tasks and queries, not on chunks.
+    """
+    rows = q.where("vec is not null").select(F.to_json("query_id").alias("key"), "vec").distinct().toPandas()
+    if not len(rows):
+        return q.select("query_id", F.lit(None).cast("long").alias("id"), F.lit(None).cast("int").alias("rank")).limit(0)
+    keys, m = rows["key"].to_numpy(), np.stack(rows["vec"].to_numpy()).astype(np.float64)
+    m = m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+    dim = m.shape[1]
+
+    def run(batches):
+        score, ids = np.empty((len(m), 0)), np.empty((len(m), 0), np.int64)
+        for b in batches:
+            flat = b.column(1).values.to_numpy(zero_copy_only=False).astype(np.float64)
+            x = flat[b.column(1).offsets.to_numpy()[0] : b.column(1).offsets.to_numpy()[-1]].reshape(-1, dim)
+            n = np.linalg.norm(x, axis=1)
+            s = np.round(m @ (x / np.where(n > 0, n, 1)[:, None]).T, 6)
+            own = np.broadcast_to(b.column(0).to_numpy(), s.shape)
+            score, ids = np.hstack([score, s]), np.hstack([ids, own])
+            if score.shape[1] > k:
+                best = np.lexsort((ids, -score), axis=1)[:, :k]
+                score, ids = np.take_along_axis(score, best, 1), np.take_along_axis(ids, best, 1)
+        w = score.shape[1]
+        if w:
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(len(m), dtype=np.int32), w)), pa.array(ids.ravel()), pa.array(score.ravel())], names=["n", "id", "score"])
+
+    found = chunks.where(F.size("embedding") == dim).select("id", "embedding").mapInArrow(run, "n int, id long, score double")
+    w = W.partitionBy("n").orderBy(F.desc("score"), "id")
+    best = found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    names = q.sparkSession.createDataFrame([(i, str(x)) for i, x in enumerate(keys)], "n int, key string").select("n", F.from_json("key", q.schema["query_id"].dataType.json()).alias("query_id")) if q.schema["query_id"].dataType.typeName() == "struct" else q.sparkSession.createDataFrame([(i, str(x)) for i, x in enumerate(keys)], "n int, query_id string")
+    return best.join(F.broadcast(names), "n").select("query_id", "id", "rank")  # a row a query of the block
 
 
 def by_words(q: DataFrame, store: Store, k: int, phrase: bool = False) -> DataFrame:
     """BM25 of each query against the postings; with ``phrase`` the query's words must stand side by side."""
-    lens = store.chunks.where("content is not null").select("id", F.size(tokens(F.col("content"))).alias("dl"))
-    stats = lens.agg(F.count("*").alias("total"), F.avg("dl").alias("avgdl"))
+    # the postings carry the length of their text, so no text is read again for the lengths
+    lens = store.postings.groupBy("id").agg(F.first("doc_len").alias("dl"))
+    stats = lens.agg(F.sum("dl").alias("words")).crossJoin(store.chunks.where("content is not null").agg(F.count("*").alias("total"))).select("total", (F.col("words") / F.col("total")).alias("avgdl"))
     t = q.select("query_id", F.posexplode(tokens(F.col("text"))).alias("place", "term"))
     if phrase:
         hits = store.postings.join(t, "term").select("query_id", "id", "place", F.explode("positions").alias("pos"))
         need = t.groupBy("query_id").agg(F.count("*").alias("need"))
         runs = hits.groupBy("query_id", "id", (F.col("pos") - F.col("place")).alias("at")).agg(F.count_distinct("place").alias("c")).join(need, "query_id").where("c = need")
-        tf = runs.groupBy("query_id", "id").agg(F.count("*").alias("tf")).withColumn("term", F.lit(""))
+        tf = runs.groupBy("query_id", "id").agg(F.count("*").alias("tf")).withColumn("term", F.lit("")).join(lens, "id")
     else:
-        tf = store.postings.join(t.select("query_id", "term").distinct(), "term").select("query_id", "term", "id", "tf")
+        tf = store.postings.join(t.select("query_id", "term").distinct(), "term").select("query_id", "term", "id", "tf", F.col("doc_len").alias("dl"))
     n = F.count("*").over(W.partitionBy("query_id", "term"))
-    s = tf.withColumn("n", n).join(lens, "id").crossJoin(F.broadcast(stats))
+    s = tf.withColumn("n", n).crossJoin(F.broadcast(stats))  # one row of statistics
     idf = F.greatest(F.log((F.col("total") - F.col("n") + 0.5) / (F.col("n") + 0.5)), F.lit(fulltext.IDF_FLOOR))
     part = idf * F.col("tf") * (fulltext.K1 + 1) / (F.col("tf") + fulltext.K1 * (1 - fulltext.B + fulltext.B * F.col("dl") / F.col("avgdl")))
     return _top(s.groupBy("query_id", "id").agg(F.round(F.sum(part), 6).alias("score")), "score", k)
 
 
 def by_names(q: DataFrame, store: Store, k: int) -> DataFrame:
-    """Chunks linked to the names in each query, a point for each; queries without a capitalised word have none."""
-    names = graph.mentions(q, "query_id", "text").select("query_id", "normalized_name").distinct()
-    return _top(store.links.join(names, "normalized_name").groupBy("query_id", "id").agg(F.count("*").alias("score")), "score", max(1, k // 2))
+    """Chunks linked to the names in each query, a point for each; a query without a capitalised word asks for none.
+
+    Half the candidates in all, of each name the first 5 or its even share, by chunk id.
+    """
+    half = max(1, k // 2)
+    asking = q.where(F.col("text").rlike(r"\p{Lu}"))
+    names = graph.mentions(asking, "query_id", "text").select("query_id", "normalized_name").distinct()
+    names = names.withColumn("each", F.greatest(F.lit(5), F.floor(F.lit(half) / F.count("*").over(W.partitionBy("query_id")))))
+    hit = store.links.join(names, "normalized_name")
+    place = F.row_number().over(W.partitionBy("query_id", "normalized_name").orderBy("id"))
+    return _top(hit.withColumn("place", place).where("place <= each").groupBy("query_id", "id").agg(F.count("*").alias("score")), "score", half)
 
 
 def search(queries: DataFrame, store: Store, cfg: RetrievalConfig | None = None, encoder: Encoder | None = None, phrase: bool = False, scorer=overlap_score) -> DataFrame:
@@ -127,7 +169,7 @@ def _search(queries: DataFrame, store: Store, cfg: RetrievalConfig, encoder: Enc
         own = d.select("query_id", "id", "rank", F.lit(i).alias("l"), F.lit(w).alias("w"))
         every = own if every is None else every.unionByName(own)
     if cfg.rrf:
-        fused = every.groupBy("query_id", "id").agg(F.sum(F.col("w") / (cfg.rrf_k + F.col("rank"))).alias("s"))
+        fused = every.groupBy("query_id", "id").agg(F.round(F.sum(F.col("w") / (cfg.rrf_k + F.col("rank"))), 12).alias("s"))
     else:
         least = F.min("l").over(W.partitionBy("query_id"))
         fused = every.withColumn("m", least).where("l = m").select("query_id", "id", (-F.col("rank")).cast("double").alias("s"))

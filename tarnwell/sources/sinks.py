@@ -60,20 +60,33 @@ def page_problem() -> Column:
     return F.coalesce(out, F.when(~F.col("source_type").isin(SOURCE_TYPES), F.concat(F.lit("unknown source_type "), F.col("source_type"))))
 
 
-def pages(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+#: The front matter of a summary page in its order, and the characters for which a value stands in quotes.
+FRONT = ["created", "source", "source_title", "source_type", "tags"]
+QUOTED = r"""[:#{}\[\],&*!|>'"`@]"""
+
+
+def _yaml(key: str, value: Column) -> Column:
+    v = value.cast("string")
+    return F.concat(F.lit(f"{key}: "), F.when(v.rlike(QUOTED), F.concat(F.lit('"'), F.regexp_replace(v, '"', '\\\\"'), F.lit('"'))).otherwise(v))
+
+
+def pages(df: DataFrame, today: str = "2025-01-01") -> tuple[DataFrame, DataFrame]:
     """(file_name, value) of the writable pages, and the rejected rows with a reason.
 
-    The front matter has project, source_type, title and, unless blank, source, in that order; the title leads the
-    body unless the body starts with a heading.
+    Required are project, source_type, title and body; created, source, source_title, tags and slug may be there.
+    The front matter keeps the order of ``FRONT``, an empty source is left out; the title leads the body unless the
+    body starts with a heading.
     """
-    from tarnwell.functions.text import file_title
-
+    filled = lambda k: F.nullif(F.trim(F.col(k)), F.lit("")) if k in df.columns else F.lit(None).cast("string")
     bad = df.withColumn("reason", page_problem()).where("reason is not null")
     good = df.where(page_problem().isNull())
-    line = lambda k: F.when(F.coalesce(F.trim(F.col(k)), F.lit("")) != "", F.concat(F.lit(f"{k}: \""), F.regexp_replace(F.col(k), '"', '\\\\"'), F.lit('"')))
-    head = F.concat_ws("\n", F.lit("---"), *[line(k) for k in ("project", "source_type", "title", "source")], F.lit("---"), F.lit(""))
-    body = F.when(F.col("body").startswith("# "), F.col("body")).otherwise(F.concat(F.lit("# "), F.col("title"), F.lit("\n\n"), F.col("body")))
-    return good.select(F.concat(file_title(F.col("title")), F.lit(".md")).alias("file_name"), F.concat_ws("\n", head, body).alias("value")), bad
+    tags = F.concat(F.lit("tags: ["), F.coalesce(F.array_join("tags", ", "), F.lit("")) if "tags" in df.columns else F.lit(""), F.lit("]"))
+    own = {"created": F.coalesce(filled("created"), F.lit(today)), "source": filled("source"), "source_title": F.coalesce(filled("source_title"), F.col("title")), "source_type": F.col("source_type")}
+    lines = [tags if k == "tags" else F.when(own[k].isNotNull(), _yaml(k, own[k])) for k in FRONT]
+    text = F.regexp_replace("body", r"^\s+", "")
+    body = F.when(text.startswith("# "), text).otherwise(F.concat(F.lit("# "), F.col("title"), F.lit("\n\n"), text))
+    name = F.substring(F.trim(F.regexp_replace(F.regexp_replace(F.coalesce(filled("slug"), F.col("title")), r'[<>:"/\\|?*]', ""), r"\s+", " ")), 1, 80)
+    return good.select(F.concat(F.when(name == "", "Summary").otherwise(name), F.lit(".md")).alias("file_name"), F.concat(F.concat_ws("\n", F.lit("---"), *lines, F.lit("---")), F.lit("\n\n"), body).alias("value")), bad
 
 
 def label_problem(c: Column, cfg: RetrievalConfig | None = None) -> Column:
@@ -90,3 +103,39 @@ def label_problem(c: Column, cfg: RetrievalConfig | None = None) -> Column:
 def append_log(spark: SparkSession, path: str, rows: DataFrame) -> None:
     """Appends JSON lines to a log folder."""
     rows.write.mode("append").json(path)
+
+
+def write_documents(documents: DataFrame, scope: str, document: str, topic: str, run_folder: str, drop_folder: str, date: str) -> DataFrame:
+    """Writes every final document twice, as its run's copy and as the copy that readers pick up; returns (scope, file_name, words)."""
+    from tarnwell.functions.text import slug, tokens
+
+    d = documents.select(scope, F.concat(F.lit("deep_research_"), slug(F.col(topic), "_"), F.lit(f"_{date}.md")).alias("file_name"), F.col(document).alias("value"))
+    for folder in (run_folder, drop_folder):
+        d.write.mode("overwrite").partitionBy(scope).parquet(folder)
+    return d.select(scope, "file_name", F.size(tokens(F.col("value"))).alias("words"))
+
+
+def rebuild(docs: DataFrame, projects: DataFrame, folder: str, version: str, smoke: str, **options) -> dict[str, int]:
+    """Indexes all documents (source_id, project, text) into a new version of the store, and moves to it if it answers.
+
+    Chunks, postings, links and centroids are made from an empty store; the smoke query must find something. If the
+    build is empty or finds nothing the pointer, and so the readers, stay at the version before.
+    """
+    from tarnwell.operators.vector import centroids
+    from tarnwell.search import Store, ingest, search
+
+    spark = docs.sparkSession
+    empty = spark.createDataFrame([], "id long, project string, source_id long, chunk_index int, content string, token_count int, embedding array<float>")
+    made = ingest(docs, Store(empty), projects, **options).store
+    n: dict[str, int] = {}
+    parts: dict[str, DataFrame] = {}
+    for name in ("chunks", "links", "postings"):
+        getattr(made, name).write.mode("errorifexists").parquet(f"{folder}/{name}/{version}")
+        parts[name] = spark.read.parquet(f"{folder}/{name}/{version}")
+        n[name] = parts[name].count()
+    dim = parts["chunks"].select(F.max(F.size("embedding"))).first()[0]
+    if not n["chunks"] or not search(spark.createDataFrame([(0, smoke)], "query_id long, text string"), Store(**parts)).limit(1).count():
+        raise ValueError(f"{version} doesn't answer; {folder} still points to the version before")
+    n["projects"] = publish(centroids(parts["chunks"], "project", "embedding", dim), f"{folder}/projects", version)
+    spark.createDataFrame([(version,)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/current")
+    return n

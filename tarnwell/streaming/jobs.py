@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,10 +53,17 @@ def windowed_counts(stream: DataFrame, ts: str, width: str, kind: str, value: st
     return g.select(F.col("window.start").cast("timestamp_ntz").alias("began"), kind, "n", "total")
 
 
-def completion(stream: DataFrame, key: str, part: str, ts: str, wanted: list[str]) -> DataFrame:
-    """(key, n, completed_ts): once for each key, when all wanted parts have come."""
+def completion(stream: DataFrame, key: str, part: str, ts: str, wanted: list[str], keep: str = "30 days") -> DataFrame:
+    """(key, n, completed_ts): once for each key, when all wanted parts have come; null parts and times don't count.
+
+    The state of a key that nothing was heard of for ``keep`` (of processing time) is dropped.
+    """
+    keep_ms = int(pd.Timedelta(keep).total_seconds() * 1000)
 
     def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         seen, at, told = state.get if state.exists else ("", "", False)
         have = dict(zip(seen.split("\x1f"), at.split("\x1f"), strict=True)) if seen else {}
         for b in batches:
@@ -64,12 +72,13 @@ def completion(stream: DataFrame, key: str, part: str, ts: str, wanted: list[str
                     have[p] = str(t)
         done = not told and len(have) == len(wanted)
         state.update(("\x1f".join(have), "\x1f".join(have.values()), told or done))
+        state.setTimeoutDuration(keep_ms)
         if done:
             yield pd.DataFrame({key: [k[0]], "n": [len(have)], "completed_ts": [pd.Timestamp(max(have.values()))]})
 
     kind = stream.schema[key].dataType.simpleString()
     s = stream.select(key, part, ts)
-    return s.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, n long, completed_ts timestamp_ntz", "seen string, at string, told boolean", "append", GroupStateTimeout.NoTimeout)
+    return s.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, n long, completed_ts timestamp_ntz", "seen string, at string, told boolean", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def moving_level(stream: DataFrame, key: str, value: str, order: list[str], alpha: float) -> DataFrame:
@@ -88,6 +97,44 @@ def moving_level(stream: DataFrame, key: str, value: str, order: list[str], alph
     return stream.select(key, value, *order).groupBy(key).applyInPandasWithState(step, f"{key} {kind}, level double, seen long", "level double, seen long", "update", GroupStateTimeout.NoTimeout)
 
 
+def route_stream(stream: DataFrame, order: list[str], dim: int, split_below: float, cold_start: float, alpha: float) -> DataFrame:
+    """(lane, id, decision, reason, project, score): documents routed one at a time, each against what the ones before it left.
+
+    ``stream`` has lane, id, vec array<double> and the ``order`` columns. The projects of a lane (a collection, a
+    tenant) are its state: their centroids, which a filed document moves by ``alpha`` and a created one adds to.
+    """
+    kinds = "lane string, id long, decision string, reason string, project int, score double"
+
+    def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        flat = np.frombuffer(state.get[0], np.float64) if state.exists else np.empty(0)
+        centers = flat.reshape(-1, dim).copy()
+        out = []
+        for row in pd.concat(list(batches)).sort_values(order).itertuples():
+            x = np.asarray(row.vec, np.float64) if row.vec is not None else np.empty(0)
+            if len(x) != dim or not np.isfinite(x).all() or not x.any():
+                out.append((k[0], row.id, "reject", "vector", None, None))
+                continue
+            if not len(centers):
+                score, best, reason, create = None, 0, "first", True
+            else:
+                norm = np.linalg.norm(centers, axis=1) * np.linalg.norm(x)
+                s = np.round(np.divide(centers @ x, norm, out=np.zeros(len(centers)), where=norm > 0), 9)
+                best = int(s.argmax())
+                score = float(s[best])
+                cold = len(centers) == 1 and score < cold_start
+                reason, create = "cosine_cold_start" if cold else "cosine", cold or score < split_below
+            if create:
+                centers, best = np.vstack([centers, x]), len(centers)
+            else:
+                centers[best] = (1 - alpha) * centers[best] + alpha * x
+            out.append((k[0], row.id, "create" if create else "file", reason, best, score))
+        state.update((centers.tobytes(),))
+        yield pd.DataFrame(out, columns=["lane", "id", "decision", "reason", "project", "score"]).astype({"project": "Int32"})
+
+    s = stream.select("lane", "id", "vec", *[c for c in order if c not in ("lane", "id", "vec")])
+    return s.groupBy("lane").applyInPandasWithState(step, kinds, "centers binary", "append", GroupStateTimeout.NoTimeout)
+
+
 def mirror(stream: DataFrame, session: str, folder: str, checkpoint: str):
     """Starts a query that keeps one folder a session, each overwritten by the session's newest batch."""
 

@@ -77,3 +77,26 @@ def complete(drafts: DataFrame, run: str, wanted: list[str], section: str, size:
     """(run, complete): whether all wanted sections of a run have a draft of the least size."""
     cfg = cfg or RetrievalConfig()
     return drafts.groupBy(run).agg(((F.count_distinct(F.when(F.col(section).isin(wanted), F.col(section))) == len(wanted)) & (F.min(size) >= cfg.draft_bytes)).alias("complete"))
+
+
+def checkpoints(events: DataFrame, kind: str, session: str, at: str) -> DataFrame:
+    """(session, at, value): the marker that the memory of a session gets before each compaction, to be appended to it."""
+    mark = F.concat(F.lit("\n---\n\n## ["), F.date_format(at, "yyyy-MM-dd HH:mm:ss"), F.lit("] PRE-COMPACT CHECKPOINT"), F.coalesce(F.concat(F.lit(" | session="), F.col(session)), F.lit("")), F.lit("\n"))
+    return events.where(F.col(kind) == "compact").select(session, at, mark.alias("value"))
+
+
+#: Fixed value: how a section writer's prompt names its section.
+SECTION_ID = r"section_id:\s*(s\d+)"
+
+
+def started(events: DataFrame, run: str, prompt: str, at: str) -> DataFrame:
+    """(run, section_id, started_at, status): the writers that began, by the section that their prompt names; other prompts are left out."""
+    s = F.regexp_extract(prompt, SECTION_ID, 1)
+    return events.where((s != "") & F.col(run).isNotNull()).select(run, s.alias("section_id"), F.col(at).alias("started_at"), F.lit("started").alias("status"))
+
+
+def closed(registry: DataFrame, stopped: DataFrame, run: str) -> DataFrame:
+    """``registry`` after the stops (run, section_id): of each section the newest row that is still open becomes completed."""
+    n = F.row_number().over(W.partitionBy(run, "section_id").orderBy(F.col("status") != "started", F.desc("started_at")))
+    stops = stopped.select(run, "section_id").distinct().withColumn("_s", F.lit(True))
+    return registry.withColumn("_n", n).join(stops, [run, "section_id"], "left").withColumn("status", F.when((F.col("_n") == 1) & F.col("_s") & (F.col("status") == "started"), "completed").otherwise(F.col("status"))).drop("_n", "_s")
