@@ -339,14 +339,14 @@ def contract_errors(spark, folder):
     return v.select("file_name", F.explode(F.concat("errors", "warnings")).alias("rule"))
 
 
-@query(f"""WITH {_STITCH} SELECT file_name, regexp_extract(document, 'topic: "([^"]*)"', 1) AS topic, TRY_CAST(regexp_extract(document, 'sources_count: (\d+)', 1) AS INTEGER) AS sources, len(regexp_extract_all(document, '(?m)^## [^\n]+'))::INTEGER AS sections FROM doc""")
+@query(rf"""WITH {_STITCH} SELECT file_name, regexp_extract(document, 'topic: "([^"]*)"', 1) AS topic, TRY_CAST(regexp_extract(document, 'sources_count: (\d+)', 1) AS INTEGER) AS sources, len(regexp_extract_all(document, '(?m)^## [^\n]+'))::INTEGER AS sections FROM doc""")
 def document_heads(spark, folder):
     """The front matter of each stitched document read back, and its number of sections."""
     d = _documents(spark, folder).withColumn("m", research.front_matter(F.col("document")))
     return d.select("file_name", F.col("m")["topic"].alias("topic"), F.col("m")["sources_count"].try_cast("int").alias("sources"), F.size(F.regexp_extract_all("document", F.lit(r"(?m)^## [^\n]+"), 0)).alias("sections"))
 
 
-@query(f"WITH {_STITCH} SELECT file_name, 'deep_research_' || coalesce(nullif(regexp_replace(substr(regexp_replace(regexp_replace(lower(file_name), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g'), 1, 50), '_+$', ''), ''), 'project') || '_2025-01-01.md' AS name, len(regexp_extract_all(document, '[\p{{L}}\p{{N}}_]+'))::INTEGER AS words FROM doc")
+@query(rf"WITH {_STITCH} SELECT file_name, 'deep_research_' || coalesce(nullif(regexp_replace(substr(regexp_replace(regexp_replace(lower(file_name), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g'), 1, 50), '_+$', ''), ''), 'project') || '_2025-01-01.md' AS name, len(regexp_extract_all(document, '[\p{{L}}\p{{N}}_]+'))::INTEGER AS words FROM doc")
 def written_documents(spark, folder):
     """The stitched documents written as run copy and drop copy, and the drop copy read back."""
     import uuid
@@ -374,7 +374,7 @@ def section_responses(spark, folder):
     return r.select("row_id", "problem", "word_count", "body", F.array_join("chunk_ids_cited", ";").alias("ids"))
 
 
-@query(f"""WITH s AS (SELECT file_name, section_id, sum(len(regexp_extract_all(text, '[\p{{L}}\p{{N}}_]+')))::BIGINT AS words FROM {PG} WHERE text IS NOT NULL GROUP BY ALL), t AS (SELECT *, (round(sum(words) OVER (PARTITION BY file_name) / count(*) OVER (PARTITION BY file_name) / 50) * 50)::INTEGER AS target FROM s)
+@query(rf"""WITH s AS (SELECT file_name, section_id, sum(len(regexp_extract_all(text, '[\p{{L}}\p{{N}}_]+')))::BIGINT AS words FROM {PG} WHERE text IS NOT NULL GROUP BY ALL), t AS (SELECT *, (round(sum(words) OVER (PARTITION BY file_name) / count(*) OVER (PARTITION BY file_name) / 50) * 50)::INTEGER AS target FROM s)
     SELECT file_name, section_id, target, abs(words - target) <= 0.25 * target AS within FROM t""")
 def section_targets(spark, folder):
     """An even share of its file's words for each section, and whether the section is within a quarter of it."""

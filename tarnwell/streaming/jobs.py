@@ -56,7 +56,8 @@ def windowed_counts(stream: DataFrame, ts: str, width: str, kind: str, value: st
 def completion(stream: DataFrame, key: str, part: str, ts: str, wanted: list[str], keep: str = "30 days") -> DataFrame:
     """(key, n, completed_ts): once for each key, when all wanted parts have come; null parts and times don't count.
 
-    The state of a key that nothing was heard of for ``keep`` (of processing time) is dropped.
+    The state of a key is dropped once the stream's time has gone on for ``keep`` beyond the newest of its events;
+    events later than that are left out.
     """
     keep_ms = int(pd.Timedelta(keep).total_seconds() * 1000)
 
@@ -64,21 +65,22 @@ def completion(stream: DataFrame, key: str, part: str, ts: str, wanted: list[str
         if state.hasTimedOut:
             state.remove()
             return
-        seen, at, told = state.get if state.exists else ("", "", False)
+        seen, at, told, newest = state.get if state.exists else ("", "", False, 0)
         have = dict(zip(seen.split("\x1f"), at.split("\x1f"), strict=True)) if seen else {}
         for b in batches:
+            newest = max(newest, int(b["_at"].max().timestamp() * 1000) if b["_at"].notna().any() else newest)
             for p, t in zip(b[part], b[ts], strict=True):
                 if p in wanted and (p not in have or str(t) < have[p]):
                     have[p] = str(t)
         done = not told and len(have) == len(wanted)
-        state.update(("\x1f".join(have), "\x1f".join(have.values()), told or done))
-        state.setTimeoutDuration(keep_ms)
+        state.update(("\x1f".join(have), "\x1f".join(have.values()), told or done, newest))
+        state.setTimeoutTimestamp(max(newest, state.getCurrentWatermarkMs()) + keep_ms)
         if done:
             yield pd.DataFrame({key: [k[0]], "n": [len(have)], "completed_ts": [pd.Timestamp(max(have.values()))]})
 
     kind = stream.schema[key].dataType.simpleString()
-    s = stream.select(key, part, ts)
-    return s.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, n long, completed_ts timestamp_ntz", "seen string, at string, told boolean", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    s = stream.where(F.col(key).isNotNull() & F.col(part).isNotNull() & F.col(ts).isNotNull()).select(key, part, ts, F.col(ts).cast("timestamp").alias("_at")).withWatermark("_at", keep)
+    return s.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, n long, completed_ts timestamp_ntz", "seen string, at string, told boolean, newest long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def moving_level(stream: DataFrame, key: str, value: str, order: list[str], alpha: float) -> DataFrame:
