@@ -28,11 +28,13 @@ TITLES = set("dr prof rev mr mrs ms miss mx sir dame lady lord professor doctor
 #: Words that say nothing about an organisation.
 IDLE = set("the of for and de la le du des der die das von und y & a an in at on".split())
 LEGAL = set("inc ltd llc plc gmbh ag ev registered incorporated limited corp sa bv".split())
+#: Words before a surname that belong to it and are often left out or cut off.
+PARTICLES = set("de del della di da dos das la le du der den ten ter van von zu bin ibn al el af av".split())
 #: Kinds of organisation and how they are shortened.
 KINDS = {
     "university": "univ uni", "society": "soc", "institute": "inst instn", "museum": "mus", "foundation": "found fdn fndn fnd", "department": "dept dep dpt",
     "company": "co comp cmpy", "cooperative": "coop", "committee": "comm cttee cmte cte", "council": "coun cncl", "association": "assoc assn ass asn",
-    "laboratory": "lab labs laboratories", "college": "coll", "academy": "acad", "centre": "ctr center cntr", "library": "lib", "union": "un", "trust": "tr", "bureau": "bur", "agency": "agcy", "office": "off", "school": "sch",
+    "laboratory": "lab labs laboratories", "college": "coll", "academy": "acad", "centre": "ctr center cntr", "library": "lib", "union": "un", "trust": "tr", "bureau": "bur", "agency": "agcy", "office": "off", "school": "sch", "organization": "org organisation",
 }
 #: Common short forms of given names.
 NICKNAMES = {
@@ -121,9 +123,9 @@ class Trie:
         return out
 
 
-def bound(word: str) -> int:
-    """Edits allowed in an anchor."""
-    return 0 if len(word) < 5 else 1
+def bound(word: str, short: int = 5) -> int:
+    """Edits allowed in an anchor: none in one of under ``short`` letters, where a single edit makes another name, else one."""
+    return 0 if len(word) < short else 1
 
 
 def trie_join(words: DataFrame, column: str = "word") -> DataFrame:
@@ -154,7 +156,9 @@ def trie_join(words: DataFrame, column: str = "word") -> DataFrame:
 def read_name(name: str) -> tuple[str, list[tuple[str, list[str]]]]:
     """(kind, readings): kind is person, org or other; a reading is (anchor, other parts in order).
 
-    A person written without a comma has two readings, surname last and surname first.
+    A person written without a comma has two readings, surname last and surname first. Anchors of any length count;
+    particles of a surname are left out. What is read as neither is "other": such names are linked where they are
+    spelled alike, case, accents, spacing and punctuation aside (see ``link``).
     """
     _, kinds = _short()
     raw = plain(name).strip()
@@ -178,22 +182,29 @@ def read_name(name: str) -> tuple[str, list[tuple[str, list[str]]]]:
         anchor = core[-1] if first else core[0]
         rest = core[:-1] if first else core[1:]
         return "org", [(anchor, rest)]
+    if len(has_kind) == 1 and len(core) == 2 and "," not in t and core[-1] in has_kind and core[-1] not in TITLES:
+        return "org", [(core[0], [_kind_of(core[1])])]  # two words, the second a kind: Tate Museum, Tate Mus.
+    if name.strip().isupper() and len(core) == 1 and 2 <= len(core[0]) <= 6 and core[0].isalpha():
+        return "org", [(core[0], ["="])]  # an acronym alone names what is written so
+    if has_kind or any(w in IDLE - PARTICLES and len(w) > 1 for w in words):
+        # a kind and a place with words between them, or a title of several words: an organisation by all its words
+        if spelled(name) and (len(core) >= 3 or (has_kind and len(core) == 2)):
+            return "org", [(core[-1], core[:-1])]
     parts = [tok(x) for x in comma]
-    parts = [[w for w in p if w not in TITLES] for p in parts]
-    parts = [p for p in parts if p]
+    parts = [[w for w in p if w not in TITLES and w not in LEGAL] for p in parts]
+    # particles go: "Ludwig von Mises" and "Mises, Ludwig" are read alike
+    bare = [[w for k, w in enumerate(p) if w not in PARTICLES or len(p) == 1 or (k == 0 and len(p) == 2 and len(parts) == 1)] for p in parts]
+    parts = [p for p in bare if p]
     flat = [w for p in parts for w in p]
-    if not 2 <= len(flat) <= 4 or any(w in IDLE and len(w) > 1 for w in flat) or any(w.isdigit() for w in flat) or re.search(r"\d", flat[-1]):
+    if any(w.isdigit() for w in flat) or (flat and re.search(r"\d", flat[-1])):
         return "other", []
-    if len(parts) == 2 and len(parts[0]) == 1:
-        return "person", [(parts[0][0], parts[1])]
+    if len(parts) == 2 and len(parts[0]) <= 2 and any(len(w) > 1 for w in parts[0]):
+        return "person", [(parts[0][-1], parts[1])] if len(parts[0]) == 1 else [(parts[0][-1], parts[1] + parts[0][:-1])]
     full = [i for i, w in enumerate(flat) if len(w) > 1]
-    if len(flat) == 4 and len(full) > 2:
-        return "other", []
-    if not full:
+    if not 2 <= len(flat) <= 6 or not full or (len(flat) >= 4 and len(full) > 2 and not any(w[:1].isupper() for w in re.findall(r"[^\W_]+", name)[1:])):
         return "other", []
     ends = sorted({0, len(flat) - 1} & set(full))
-    out = [(flat[i], flat[:i] + flat[i + 1 :]) for i in reversed(ends)]
-    return "person", [r for r in out if len(r[0]) >= 4]
+    return "person", [(flat[i], flat[:i] + flat[i + 1 :]) for i in reversed(ends)]
 
 
 def given_fits(form: str, full: str) -> bool:
@@ -343,11 +354,20 @@ def resolve_orgs(forms: list[tuple[int, str, list[str]]]) -> list[int]:
     return label
 
 
+def spelled(name: str) -> str:
+    """What is left of a name that can't be read: its words in order; empty unless each longer word is capitalised."""
+    words = re.findall(r"[^\W_]+", name)
+    if not words or ":" in name or any(w[0].islower() and len(w) > 3 for w in words) or any(ch.isdigit() for ch in name):
+        return ""
+    return " ".join(plain(w) for w in words)
+
+
 def link(entities: DataFrame, key: str = "id", name: str = "name", common: int = 3) -> DataFrame:
     """(key, cluster) of each row that names a person or an organisation.
 
     Rows are told apart by the name alone, whatever their type and project. Re-delivered rows (one key) count once;
-    null or empty names, and names of anything else, have no row. Rows of one spelling are folded before they are
+    null or empty names have no row. Names of another shape have one if they are written in capitalised words, and
+    are linked to those spelled alike only. Rows of one spelling are folded before they are
     compared, so a name that fills a third of the table is one form.
     """
     rows = entities.where(F.col(key).isNotNull() & F.col(name).isNotNull()).select(F.col(key).alias("key"), F.col(name).alias("name")).dropDuplicates(["key"])
@@ -357,6 +377,8 @@ def link(entities: DataFrame, key: str = "id", name: str = "name", common: int =
             out: dict[str, list] = {"name": [], "kind": [], "option": [], "anchor": [], "rest": []}
             for n in b.column(0).to_pylist():
                 kind, readings = read_name(n)
+                if not readings and (alike := spelled(n)):
+                    kind, readings = "other", [(alike, [])]
                 for k, (anchor, rest) in enumerate(readings):
                     for c, v in zip(out, (n, kind, k, anchor, rest), strict=True):
                         out[c].append(v)
@@ -406,6 +428,7 @@ def link(entities: DataFrame, key: str = "id", name: str = "name", common: int =
         return pa.table({"name": pa.array([r["name"] for r in got], pa.string()), "cluster": pa.array([f"{kind}:{block_}:{labels[shapes[(r['anchor'], *r['rest'])]]}" for r in got], pa.string())})
 
     clusters = known.groupBy("block", "kind").applyInArrow(settle, "name string, cluster string")
+    clusters = clusters.unionByName(forms.where("kind = 'other'").select("name", F.concat(F.lit("other:"), "anchor").alias("cluster")))
     return rows.join(clusters, "name").select(F.col("key").alias(key), "cluster")
 
 

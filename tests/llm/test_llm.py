@@ -113,6 +113,17 @@ def test_names(spark):
     assert not {p for p in got if 10 in p}  # CMC fits the cooperative and the council
 
 
+def test_short_and_unusual_names(spark):
+    rows = [
+        "Bruce Lee", "Lee, Bruce", "B. Lee", "Kim Wu", "Wu, Kim", "Madonna", "MADONNA", "Bo Li", "Li, Bo", "Ludwig von Mises", "Mises, Ludwig", "Maria del Carmen Garcia Lopez", "Lopez, Maria Carmen Garcia",
+        "Jean-Luc van den Berg", "Berg, Jean-Luc van den", "IBM", "IBM", "Tate Museum", "Tate Mus.", "World Health Organization", "World Health Organisation", "Museum of Modern Art", "Museum of Modern Art", "sampling of the lake", "sampling of the lake", "Anna Kim",
+    ]
+    d = spark.createDataFrame(list(enumerate(rows)), "id long, name string")
+    got = {tuple(r) for r in names.linked_pairs(names.link(d)).collect()}
+    want = {(0, 1), (0, 2), (1, 2), (3, 4), (5, 6), (7, 8), (9, 10), (11, 12), (13, 14), (15, 16), (17, 18), (19, 20), (21, 22)}
+    assert got == want
+
+
 def test_names_of_nothing(spark):
     d = spark.createDataFrame([], "id long, name string")
     assert names.link(d).count() == 0
