@@ -2,14 +2,23 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from tarnwell.operators import drift
 from tarnwell.plans.registry import query
 from tarnwell.sources.tables import table
 
 
+#: The names that the searchers use, as the SQL knows them; the operator goes by content first and has its own list.
+_NAMES = {
+    "chunk_id": "chunk_id id chunkId cid passage_id chunk_key ref", "section_id": "section_id section sec sectionId", "source_url": "source_url url link href page_url",
+    "source_title": "source_title title page_title headline", "fetched_at": "fetched_at date retrieved fetch_time accessed crawled_on fetchedAt",
+    "sub_question_origin": "sub_question_origin subquestion topic subQuestion asked origin_q question", "text": "text extract body content_text passage",
+}
+
+
 def _role(c: str) -> str:
-    """The role of a field by its name alone, which on clean names is what the operator finds by content."""
-    return "CASE " + " ".join(f"WHEN {c} IN (" + ", ".join(f"'{n}'" for n in names) + f") THEN '{role}'" for role, names in drift.ROLES.items()) + f" ELSE {c} END"
+    return "CASE " + " ".join(f"WHEN {c} IN (" + ", ".join(f"'{n}'" for n in names.split()) + f") THEN '{role}'" for role, names in _NAMES.items()) + f" ELSE {c} END"
 
 
 _FOUND = f"""WITH raw AS (SELECT DISTINCT ON (raw_id) searcher, file_name, written_ts, TRY_CAST(payload AS JSON) AS j FROM searcher_raw),
@@ -36,11 +45,41 @@ def p3_found(spark, folder):
     return drift.changes(table(spark, folder, "searcher_raw")).select("file_name", "field", "change").distinct()
 
 
-@query()
+_CHANGES = _FOUND.index("SELECT DISTINCT file_name, nf AS field")
+_VERSION = _FOUND[:_CHANGES].rstrip() + """, fs AS (SELECT searcher, seq, string_agg(field || ':' || coalesce(type, 'null'), ',' ORDER BY field) AS schema FROM p GROUP BY ALL),
+    vs AS (SELECT f.*, file_name, CASE WHEN lag(schema) OVER w IS NULL OR lag(schema) OVER w <> schema THEN 1 ELSE 0 END AS began FROM fs f JOIN files USING (searcher, seq) WINDOW w AS (PARTITION BY f.searcher ORDER BY f.seq)),
+    vn AS (SELECT *, sum(began) OVER (PARTITION BY searcher ORDER BY seq) AS version FROM vs)"""
+
+
+@query(_VERSION + " SELECT searcher, version::INTEGER AS version, substr(sha256(schema), 1, 16) AS fingerprint, schema, arg_min(file_name, seq) AS first_file, count(*) AS files FROM vn GROUP BY searcher, version, schema")
 def p3_versions(spark, folder):
-    return drift.versions(table(spark, folder, "searcher_raw"))
+    """The versions of each searcher's schema in order."""
+    return drift.versions(table(spark, folder, "searcher_raw")).drop("steps")
+
+
+@query(_VERSION + ", ch AS (" + _FOUND[_CHANGES:] + ")" + " SELECT searcher, version::INTEGER AS version, count(change) AS steps FROM (SELECT searcher, version, arg_min(file_name, seq) AS file_name FROM vn GROUP BY ALL) LEFT JOIN ch USING (file_name) GROUP BY ALL")
+def p3_steps(spark, folder):
+    """How many migration steps lead to each version from the one before it."""
+    v = drift.versions(table(spark, folder, "searcher_raw"))
+    return v.select("searcher", "version", F.when(F.col("steps") == "", 0).otherwise(F.size(F.split("steps", ";"))).cast("long").alias("steps"))
+
+
+_VALUE = "CASE json_type(x) WHEN 'VARCHAR' THEN json_extract_string(x, '$') ELSE x::VARCHAR END"
+_TABLE = f"""WITH raw AS (SELECT DISTINCT ON (raw_id) raw_id, searcher, file_name, TRY_CAST(payload AS JSON) AS j FROM searcher_raw), env0 AS (SELECT raw_id, file_name, CASE WHEN json_type(j, '$.chunks') = 'ARRAY' THEN json_extract(j, '$.chunks[*]') ELSE [j] END AS a FROM raw WHERE j IS NOT NULL),
+    env AS (SELECT raw_id, file_name, unnest(range(len(a))) AS pos, unnest(a) AS j FROM env0), rec AS (SELECT * FROM env WHERE json_type(j) = 'OBJECT'),
+    kv0 AS (SELECT raw_id, pos, unnest(json_keys(j)) AS field, j FROM rec), kv1 AS (SELECT raw_id, pos, field, json_extract(j, '$."' || field || '"') AS x FROM kv0), kv AS (SELECT raw_id, pos, field, {_role("field")} AS role, json_type(x) AS kind, x, {_VALUE} AS v FROM kv1 WHERE json_type(x) <> 'NULL'),
+    one AS (SELECT * FROM kv QUALIFY row_number() OVER (PARTITION BY raw_id, pos, role ORDER BY field <> role, field) = 1),
+    w AS (SELECT raw_id, pos, {", ".join(f"max(v) FILTER (WHERE role = '{r}') AS {r}, max(kind) FILTER (WHERE role = '{r}') AS {r}_k" for r in _NAMES)} FROM one GROUP BY ALL),
+    al AS (SELECT rec.raw_id, rec.pos, rec.file_name, w.* EXCLUDE (raw_id, pos) FROM rec LEFT JOIN w USING (raw_id, pos)),
+    c AS (SELECT *, CASE WHEN chunk_id_k = 'OBJECT' THEN json_extract_string(chunk_id, '$.s') || '_c' || json_extract_string(chunk_id, '$.c') WHEN regexp_full_match(chunk_id, '\\d{{4,10}}') THEN 's' || (chunk_id::BIGINT // 1000) || '_c' || (chunk_id::BIGINT % 1000) ELSE chunk_id END AS cid,
+        CASE WHEN fetched_at_k = 'OBJECT' THEN json_extract_string(fetched_at, '$.day') || 'T' || json_extract_string(fetched_at, '$.clock') || ':00Z'
+            WHEN regexp_full_match(fetched_at, '\\d{{9,14}}') THEN strftime(epoch_ms(CASE WHEN fetched_at::BIGINT > 100000000000 THEN fetched_at::BIGINT // 1000 ELSE fetched_at::BIGINT END * 1000), '%Y-%m-%dT%H:%M:%SZ')
+            ELSE regexp_replace(regexp_replace(regexp_replace(fetched_at, '^(\\d{{4}}-\\d\\d-\\d\\d) ', '\\1T'), '\\+00:00$', 'Z'), '(T\\d\\d:\\d\\d:\\d\\d)$', '\\1Z') END AS at,
+        CASE sub_question_origin_k WHEN 'ARRAY' THEN json_extract_string(sub_question_origin, '$[0]') WHEN 'OBJECT' THEN json_extract_string(sub_question_origin, '$.q') ELSE sub_question_origin END AS q FROM al)
+    SELECT raw_id, pos::INTEGER AS pos, file_name, cid AS chunk_id, coalesce(section_id, nullif(regexp_extract(cid, '^(s\\d+)_', 1), '')) AS section_id, source_url, source_title, at AS fetched_at, coalesce(q, 'unrecorded') AS sub_question_origin, text FROM c"""
 
 
-@query()
+@query(_TABLE.replace("AS at,", "AS fa,").replace("at AS fetched_at", "fa AS fetched_at"))
 def p3_table(spark, folder):
-    return drift.consistent(table(spark, folder, "searcher_raw"))
+    """All records in the columns of the searchers' canonical schema."""
+    return drift.consistent(table(spark, folder, "searcher_raw")).drop("changed")
