@@ -2,10 +2,13 @@
 
 A body is known by a fingerprint: a hash of its raw content, a hash of its words, its words as small integers, and
 ``KEYS`` sort keys, each a chain of MinHash values of five-word shingles. Bodies with one hash form a class; only
-the first of a class enters the runs. A run holds the sort keys of one batch, sorted by range; a new batch is sorted,
-merged with the key ranges of the earlier runs that it touches, and only the windows around its new records are
-compared. Runs are compacted when there are many. Candidates are verified on their whole bodies. What is kept of the
-past are the runs and fingerprints; the chunks of earlier batches are never read again.
+the first of a class enters the runs. A run holds the sort keys of one batch, sorted and cut into key ranges; a new
+batch is sorted, merged with the key ranges of the earlier runs that it touches, and only the windows around its new
+records are compared. Candidates are verified on their whole bodies.
+
+What is kept of the past (runs, fingerprints, names of contents, classes) is cut into ranges of about ``rows_a_range``
+rows by the key by which it is looked up, a folder each, and a batch opens only the ranges that its own keys fall
+into. Runs and all else are compacted when there are many. The chunks of earlier batches are never read again.
 """
 
 from __future__ import annotations
@@ -21,10 +24,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from tarnwell.llm.components import components
-from tarnwell.session import shared_folder, written
+from tarnwell.session import drop_written, shared_folder, written
 
 KEYS, CHAIN, SHINGLE = 24, 3, 5
 #: Bins of the word histogram, which bounds what two bodies can share.
@@ -80,7 +84,7 @@ def sort_keys(w: np.ndarray) -> np.ndarray:
     out = np.empty(KEYS, np.uint32)
     for k in range(KEYS):
         out[k] = ((h * a[k] + b[k]) >> np.uint64(32)).min()
-    return out
+    return out * np.uint32(2654435761)  # minima lie near 0: spread again, so that the key ranges are even
 
 
 def histogram(w: np.ndarray) -> np.ndarray:
@@ -187,12 +191,77 @@ def entries(prints: DataFrame) -> DataFrame:
 
 
 def windows(merged: DataFrame, window: int, agree: int = 2) -> DataFrame:
-    """(a, b): a new record and one of the ``window`` records before or after it in the sorted runs of ``agree`` keys, the first of the chain being equal."""
-    by = W.partitionBy("key_no", "k0").orderBy("k1", "k2", "id")
-    before = [F.struct(F.lag("id", d).over(by).alias("id"), F.lag("new", d).over(by).alias("new")) for d in range(1, window + 1)]
-    around = merged.withColumn("around", F.array(*before)).where("around[0].id is not null")
-    pair = around.select("id", "new", F.explode("around").alias("o")).where("o.id is not null and (new or o.new) and o.id != id")
-    return pair.groupBy(F.least("id", "o.id").alias("a"), F.greatest("id", "o.id").alias("b")).agg(F.count("*").alias("n")).where(F.col("n") >= agree).select("a", "b")
+    """(a, b): a new record and one of the ``window`` records before or after it in the sorted runs of ``agree`` keys.
+
+    A window ends where the first hash of the chain changes: what lies beyond agrees in nothing. The runs are sorted
+    by range over the whole key, so a hash that a third of all rows share is spread over many tasks. The first and
+    last rows of each range are kept beside its pairs, and the windows across the borders are made from these.
+    """
+    order = ["key_no", "k0", "k1", "k2", "id"]
+
+    def compare(batches):
+        from pyspark import TaskContext
+
+        part, seen = TaskContext.get().partitionId(), 0
+        tail = [np.empty(0, np.int64)] * 4
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            now = [batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(4)]
+            at = np.arange(seen, seen + batch.num_rows)
+            if seen < window:  # the first rows of the range
+                first = slice(0, window - seen)
+                yield _rows(edge=[x[first] for x in now], part=part, at=at[first])
+            key, k0, new, ids = (np.concatenate([t, x]) for t, x in zip(tail, now, strict=True))
+            old = len(tail[0])
+            a, b = [], []
+            for d in range(1, window + 1):
+                j = np.arange(max(old, d), len(ids))
+                i = j - d
+                hit = (key[i] == key[j]) & (k0[i] == k0[j]) & ((new[i] | new[j]) > 0) & (ids[i] != ids[j])
+                a.append(np.minimum(ids[i[hit]], ids[j[hit]]))
+                b.append(np.maximum(ids[i[hit]], ids[j[hit]]))
+            yield _rows(pairs=(np.concatenate(a), np.concatenate(b)))
+            tail = [x[-window:] for x in (key, k0, new, ids)]
+            seen += batch.num_rows
+        if seen > window:  # the last rows, those that aren't among the first
+            m = min(window, seen - window)
+            yield _rows(edge=[x[-m:] for x in tail], part=part, at=np.arange(seen - m, seen))
+
+    def across(batches):
+        rows = [b for b in batches if b.num_rows]
+        if not rows:
+            return
+        t = pa.Table.from_batches(rows).to_pandas().sort_values(["part", "at"])
+        size = t.groupby("part")["at"].max() + 1
+        place = (t["at"] + t["part"].map(size.cumsum() - size)).to_numpy()
+        part, key, k0, new, ids = (t[c].to_numpy() for c in ("part", "key_no", "k0", "new", "id"))
+        for d in range(1, min(2 * window, len(t))):  # neighbours in this table are at least as near in the run
+            i, j = np.arange(len(t) - d), np.arange(d, len(t))
+            hit = (part[i] != part[j]) & (place[j] - place[i] <= window) & (key[i] == key[j]) & (k0[i] == k0[j]) & ((new[i] | new[j]) > 0) & (ids[i] != ids[j])
+            if hit.any():
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[i[hit]], ids[j[hit]])), pa.array(np.maximum(ids[i[hit]], ids[j[hit]]))], names=["a", "b"])
+
+    found = written(merged.select("key_no", "k0", F.col("new").cast("int").alias("new"), "id", "k1", "k2").repartitionByRange(*order).sortWithinPartitions(*order).select("key_no", "k0", "new", "id").mapInArrow(compare, WINDOWED), "windows")
+    # a few rows a range: one task
+    border = found.where("part is not null").select("part", "at", "key_no", "k0", "new", "id").repartition(1).mapInArrow(across, "a long, b long")
+    every = found.where("a is not null").select("a", "b").unionByName(border)
+    return every.groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= agree).select("a", "b")
+
+
+WINDOWED = "a long, b long, part int, at long, key_no int, k0 long, new int, id long"
+
+
+def _rows(pairs=None, edge=None, part: int = 0, at=None) -> pa.RecordBatch:
+    """Pairs, or rows at the edge of a range, in the columns of ``WINDOWED``."""
+    n = len(pairs[0]) if pairs is not None else len(at)
+    none = lambda kind: pa.nulls(n, kind)
+    if pairs is not None:
+        cols = [pa.array(pairs[0]), pa.array(pairs[1]), none(pa.int32()), none(pa.int64()), none(pa.int32()), none(pa.int64()), none(pa.int32()), none(pa.int64())]
+    else:
+        key, k0, new, ids = edge
+        cols = [none(pa.int64()), none(pa.int64()), pa.array(np.full(n, part, np.int32)), pa.array(at.astype(np.int64)), pa.array(key.astype(np.int32)), pa.array(k0), pa.array(new.astype(np.int32)), pa.array(ids)]
+    return pa.RecordBatch.from_arrays(cols, names=["a", "b", "part", "at", "key_no", "k0", "new", "id"])
 
 
 def verified(pairs: DataFrame, prints: DataFrame, share: float) -> DataFrame:
@@ -226,108 +295,193 @@ def verified(pairs: DataFrame, prints: DataFrame, share: float) -> DataFrame:
     return both.select("a", "b", "wa", "wb").mapInArrow(run, "a long, b long")
 
 
+#: By what each table of the past is looked up.
+LOOKUP = {"runs": "k0", "prints": "id", "names": "raw", "classes": "cls"}
+
+
 class History:
     """All bodies accepted so far, in a folder that every executor sees.
 
     ``add`` takes the fingerprints of a batch and returns (id, first): each source of the batch that repeats an
     earlier one, with the earliest source (ts, then id) of its body. Batches come in any order; a source of a later
-    batch never changes what an earlier batch was told.
+    batch never changes what an earlier batch was told. ``rows_read`` counts the rows of the past that ``add`` opened.
     """
 
-    def __init__(self, spark: SparkSession, folder: str | None = None, window: int = 8, share: float = 0.8, most_runs: int = 8) -> None:
-        self.spark, self.window, self.share, self.most_runs = spark, window, share, most_runs
+    def __init__(self, spark: SparkSession, folder: str | None = None, window: int = 8, share: float = 0.8, most_runs: int = 8, rows_a_range: int = 65_536, most_ranges: int = 4096, heads: int = 16, measure: bool = False) -> None:
+        self.spark, self.window, self.share, self.most_runs, self.heads = spark, window, share, most_runs, heads
+        self.rows_a_range, self.most_ranges, self.measure, self.rows_read = rows_a_range, most_ranges, measure, Counter()
         self.folder = folder or f"{shared_folder(spark)}/history-{uuid.uuid4().hex}"
-        self.runs: list[str] = []
-        self.prints: list[str] = []
-        self.classes: list[str] = []
+        self.tables: dict[str, list[list]] = {k: [] for k in LOOKUP}  # [path, ranges, schema] of each part
 
     def save(self) -> None:
-        """Writes the list of runs beside them, so that ``load`` finds this state again."""
-        state = json.dumps({"runs": self.runs, "prints": self.prints, "classes": self.classes})
-        self.spark.createDataFrame([(state,)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.folder}/state")
+        """Writes the list of parts beside them, so that ``load`` finds this state again."""
+        self.spark.createDataFrame([(json.dumps(self.tables),)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.folder}/state")
 
     @classmethod
     def load(cls, spark: SparkSession, folder: str, **options) -> History:
         h = cls(spark, folder, **options)
-        for k, v in json.loads(spark.read.text(f"{folder}/state").first()["value"]).items():
-            setattr(h, k, v)
+        h.tables = json.loads(spark.read.text(f"{folder}/state").first()["value"])
         return h
 
-    def _put(self, df: DataFrame, kind: str) -> DataFrame:
+    @staticmethod
+    def _range(kind: str, ranges: int):
+        """The range that a key falls into: of the runs a range of the first hash, of the others one of the key's hash."""
+        key = F.col(LOOKUP[kind])
+        return F.shiftright(key, 32 - (ranges.bit_length() - 1)).cast("int") if kind == "runs" else F.pmod(F.xxhash64(key), F.lit(ranges)).cast("int")
+
+    def _put(self, df: DataFrame, kind: str, rows: int, order: list[str]) -> DataFrame:
+        """Writes a part, cut into ranges of about ``rows_a_range`` rows, and returns it."""
+        ranges = 1
+        while ranges * self.rows_a_range < rows and ranges < self.most_ranges:
+            ranges *= 2
         path = f"{self.folder}/{kind}/{uuid.uuid4().hex}"
-        df.write.parquet(path)
-        getattr(self, kind).append(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        if ranges > 1:
+            df.withColumn("range", self._range(kind, ranges)).repartition("range").sortWithinPartitions("range", *order).write.partitionBy("range").parquet(path)
+        else:
+            df.withColumn("range", F.lit(0)).write.partitionBy("range").parquet(path)
+        self.tables[kind].append([path, ranges, df.schema.json()])
+        return self._part(self.tables[kind][-1])
+
+    def _part(self, part: list, only: list[int] | None = None) -> DataFrame:
+        schema = T.StructType.fromJson(json.loads(part[2]))
+        df = self.spark.read.schema(T.StructType([*schema.fields, T.StructField("range", T.IntegerType())])).parquet(part[0])
+        return (df if only is None else df.where(F.col("range").isin(only))).select(schema.names)
+
+    def touched(self, kind: str, keys: DataFrame, parts: list[list] | None = None) -> DataFrame | None:
+        """The ranges of the past that the keys (a column named as in ``LOOKUP``) fall into; None if there is no past."""
+        out, wanted = None, {}
+        for part in self.tables[kind] if parts is None else parts:
+            n = part[1]
+            if n > 1 and n not in wanted:
+                wanted[n] = [r[0] for r in keys.where(F.col(LOOKUP[kind]).isNotNull()).select(self._range(kind, n)).distinct().collect()]  # ``most_ranges`` rows at most
+            d = self._part(part, None if n == 1 or len(wanted[n]) == n else wanted[n])
+            if self.measure:
+                self.rows_read[kind] += d.count()
+            out = d if out is None else out.unionByName(d)
+        return out
 
     def compact(self) -> None:
-        """Merges all runs into one, and the tables of classes likewise; the old files go."""
-        for kind, order in (("runs", ["key_no", "k0", "k1", "k2", "id"]), ("classes", ["cls"])):
-            old = list(getattr(self, kind))
+        """Merges the parts of each table into one, cut anew; of the fingerprints only those of classes' first bodies stay."""
+        for kind, order in (("runs", ["key_no", "k0", "k1", "k2", "id"]), ("classes", ["cls"]), ("names", ["raw"]), ("prints", ["id"])):
+            old = list(self.tables[kind])
             if len(old) > 1:
-                df = self.spark.read.parquet(*old)
-                setattr(self, kind, [])
-                self._put(df.repartitionByRange(*order[:2]).sortWithinPartitions(*order), kind)
+                df = functools.reduce(DataFrame.unionByName, [self._part(p) for p in old])
+                if kind == "prints":
+                    reps = functools.reduce(DataFrame.unionByName, [self._part(p) for p in self.tables["classes"]]).select(F.col("rep").alias("id")).where("id is not null").distinct()
+                    df = df.join(reps, "id", "left_semi")
+                elif kind == "classes":
+                    df = df.groupBy("cls").agg(F.max("rep").alias("rep"), F.min(F.struct("ts", "id")).alias("f")).select("cls", "rep", "f.ts", "f.id")
+                elif kind == "names":
+                    df = df.groupBy("raw", "cls", "has_words").agg(F.min(F.struct("ts", "id")).alias("f")).select("raw", "cls", "has_words", "f.ts", "f.id")
+                rows = df.count()
+                self.tables[kind] = []
+                self._put(df, kind, rows, order)
                 for p in old:
-                    path = self.spark._jvm.org.apache.hadoop.fs.Path(p)
+                    path = self.spark._jvm.org.apache.hadoop.fs.Path(p[0])
                     path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
-    def add(self, batch: DataFrame) -> DataFrame:
-        spark = self.spark
-        new = written(batch, "batch")
+    def _firsts(self, reps: DataFrame, heads: DataFrame) -> DataFrame:
+        """(rep, first): the earliest source of the class of each of the bodies ``reps`` (rep), from this batch and from the ranges it touches."""
+        now = heads.join(reps, "rep", "left_semi").select("rep", "first")
+        past = self.touched("prints", reps.select(F.col("rep").alias("id")), self.tables["prints"][:-1])
+        if past is not None:
+            own = written(past.select(F.col("id").alias("rep"), F.col("words_hash").alias("cls")).join(reps, "rep", "left_semi"), "classes-of")
+            old = self.touched("classes", own)
+            if old is not None:
+                known = own.join(old.select("cls", F.struct("ts", "id").alias("first")), "cls").select("rep", "first")
+                now = now.unionByName(known)
+        return written(now.groupBy("rep").agg(F.min("first").alias("first")), "firsts")
+
+    def add(self, batch: DataFrame, rows: int | None = None) -> DataFrame:
+        """See the class; ``rows`` is about how many there are, if known, and decides into how many ranges they are cut."""
+        made: list[DataFrame] = []
+
+        def keep(df: DataFrame, label: str) -> DataFrame:
+            made.append(written(df, label))
+            return made[-1]
+
+        new = self._put(batch, "prints", rows or 0, ["id"])
         slim = new.where("raw is not null or words_hash is not null").select("id", "ts", "raw", "words_hash")
-        past = spark.read.parquet(*self.classes) if self.classes else None
         # a source without chunks has its words_hash from another source of the same raw content
         known = slim.where("words_hash is not null and raw is not null").groupBy("raw").agg(F.min("words_hash").alias("wh"))
+        past = self.touched("names", slim.select("raw"))
         if past is not None:
-            known = known.unionByName(past.where("raw is not null and has_words").select("raw", F.col("cls").alias("wh"))).groupBy("raw").agg(F.min("wh").alias("wh"))
+            known = known.unionByName(past.where("has_words").select("raw", F.col("cls").alias("wh"))).groupBy("raw").agg(F.min("wh").alias("wh"))
         cls = F.coalesce("words_hash", "wh", "raw")
-        named = slim.join(known, "raw", "left").select("id", "ts", "raw", cls.alias("cls"), F.coalesce("words_hash", "wh").isNotNull().alias("has_words"), F.col("words_hash").isNotNull().alias("own"))
-        named = written(named, "named")
+        named = keep(slim.join(known, "raw", "left").select("id", "ts", "raw", cls.alias("cls"), F.coalesce("words_hash", "wh").isNotNull().alias("has_words"), F.col("words_hash").isNotNull().alias("own")), "named")
         head = F.min(F.struct("ts", "id")).alias("first")
         heads = named.groupBy("cls").agg(head, F.min(F.when(F.col("own"), F.struct("ts", "id"))).alias("body"))
-        if past is not None:
+        old = self.touched("classes", named.select("cls"))
+        if old is not None and past is not None:
             # raw first: a class that was known by its raw hash alone may get its words only now
-            old = past.groupBy("cls").agg(F.min(F.struct("ts", "id")).alias("old"), F.max("rep").alias("old_rep"))
-            aka = past.where("not has_words").select(F.col("raw").alias("cls"), F.struct("ts", "id").alias("old"))
-            late = named.where("has_words and raw is not null").select("cls", "raw").distinct().join(aka.withColumnRenamed("cls", "raw"), "raw").groupBy("cls").agg(F.min("old").alias("late"))
-            heads = heads.join(old, "cls", "left").join(late, "cls", "left")
+            before = old.groupBy("cls").agg(F.min(F.struct("ts", "id")).alias("old"), F.max("rep").alias("old_rep"))
+            aka = past.where("not has_words").select("raw", F.struct("ts", "id").alias("o"))
+            late = named.where("has_words and raw is not null").select("cls", "raw").distinct().join(aka, "raw").groupBy("cls").agg(F.min("o").alias("late"))
+            heads = heads.join(before, "cls", "left").join(late, "cls", "left")
         else:
             heads = heads.withColumn("old", F.lit(None).cast(named.select(head).schema[0].dataType)).withColumn("old_rep", F.lit(None).cast("long")).withColumn("late", F.col("old"))
-        heads = written(heads.select("cls", F.least("first", "old", "late").alias("first"), F.coalesce("old_rep", "body.id").alias("rep"), (F.col("old_rep").isNull() & F.col("body").isNotNull()).alias("fresh")), "heads")
+        heads = keep(heads.select("cls", F.least("first", "old", "late").alias("first"), F.coalesce("old_rep", "body.id").alias("rep"), (F.col("old_rep").isNull() & F.col("body").isNotNull()).alias("fresh")), "heads")
         # only the first body of a new class enters the runs
-        fresh = new.join(heads.where("fresh").select(F.col("rep").alias("id")), "id", "left_semi")
-        prints = self._put(fresh.select("id", "n_words", "words", "bins"), "prints")
-        run = entries(fresh)
-        run = self._put(run.repartitionByRange("key_no", "k0").sortWithinPartitions("key_no", "k0", "k1", "k2", "id"), "runs")
+        fresh = heads.where("fresh").select(F.col("rep").alias("id"))
+        run = self._put(entries(new.join(fresh, "id", "left_semi")), "runs", fresh.count() * KEYS, ["key_no", "k0", "k1", "k2", "id"])
         merged = run.withColumn("new", F.lit(True))
-        if len(self.runs) > 1:
-            earlier = spark.read.schema(run.schema).parquet(*self.runs[:-1])
-            touched = earlier.join(run.select("key_no", "k0").distinct(), ["key_no", "k0"], "left_semi")  # only ranges the batch touches
-            merged = merged.unionByName(touched.withColumn("new", F.lit(False)))
-        every = spark.read.schema(prints.schema).parquet(*self.prints)
-        links = written(verified(written(windows(merged, self.window), "candidates"), every, self.share), "links")
-        first = heads.select("rep", "first")
-        if past is not None:
-            first = first.unionByName(past.where("rep is not null").select("rep", F.struct("ts", "id").alias("first"))).groupBy("rep").agg(F.min("first").alias("first"))
-        first = written(first.where("rep is not null"), "first")
+        earlier = self.touched("runs", run.select("k0"), self.tables["runs"][:-1])
+        if earlier is not None:
+            merged = merged.unionByName(earlier.join(run.select("key_no", "k0").distinct(), ["key_no", "k0"], "left_semi").withColumn("new", F.lit(False)))
+        candidates = keep(windows(merged, self.window), "candidates")
+        ids = keep(candidates.select(F.col("a").alias("id")).unionByName(candidates.select(F.col("b").alias("id"))).distinct(), "ids")
+        links = keep(verified(candidates, self.touched("prints", ids), self.share), "links")
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        first = self._firsts(both.select(F.col("a").alias("rep")).distinct(), heads)
+        made.append(first)
         direct = both.join(first.select(F.col("rep").alias("b"), F.col("first").alias("other")), "b").groupBy("a").agg(F.min("other").alias("near"))
-        # a family larger than the window: its members are verified against the family's earliest body too
-        label = components(links)
-        head_of = label.join(first, label.id == first.rep).groupBy("label").agg(F.min(F.struct(F.col("first").alias("f"), F.col("rep").alias("r"))).alias("h"))
-        far = label.join(head_of, "label").select(F.col("id").alias("m"), F.col("h.r").alias("r"), F.col("h.f").alias("f")).where("m != r")
-        asked = far.select(F.least("m", "r").alias("a"), F.greatest("m", "r").alias("b")).join(links, ["a", "b"], "left_anti")
-        more = verified(asked, every, self.share)
-        reach = far.join(more.unionByName(more.select(F.col("b").alias("a"), F.col("a").alias("b"))), (F.col("m") == F.col("a")) & (F.col("r") == F.col("b"))).select(F.col("m").alias("a"), F.col("f").alias("near"))
-        best = direct.unionByName(reach).groupBy("a").agg(F.min("near").alias("near"))
+        best = direct.unionByName(self._far(links, candidates, first, made)).groupBy("a").agg(F.min("near").alias("near"))
         firsts = heads.join(best, heads.rep == best.a, "left").select("cls", F.least("first", "near").alias("first"))
         out = written(named.join(firsts, "cls").where("first.id != id").select("id", F.col("first.id").alias("first")), "found")
-        seen = named.groupBy("cls", "raw").agg(F.min("ts").alias("ts"), F.min(F.struct("ts", "id")).getField("id").alias("id"), F.max("has_words").alias("has_words"))
-        self._put(seen.join(heads.select("cls", "rep"), "cls"), "classes")
-        if len(self.runs) > self.most_runs:
+        seen = named.where("raw is not null").groupBy("raw", "cls", "has_words").agg(F.min(F.struct("ts", "id")).alias("f")).select("raw", "cls", "has_words", "f.ts", "f.id")
+        classes = heads.count()
+        self._put(seen, "names", classes, ["raw"])
+        own = named.groupBy("cls").agg(F.min(F.struct("ts", "id")).alias("f"))
+        self._put(heads.select("cls", "rep").join(own, "cls").select("cls", "rep", "f.ts", "f.id"), "classes", classes, ["cls"])
+        for t in made:
+            drop_written(t)
+        if len(self.tables["runs"]) > self.most_runs:
             self.compact()
         return out
 
+    def _far(self, links: DataFrame, candidates: DataFrame, first: DataFrame, made: list) -> DataFrame:
+        """(a, near): members of families with an earlier body that their windows don't show.
+
+        The members of a family are verified against its ``heads`` earliest bodies. Those that none of these matches
+        are taken again against the earliest of what is left, until all that is left has led. Every round compares each
+        member with a few heads, more from round to round, never all with all. Families of up to ``heads`` different
+        bodies are therefore exact; in larger ones that drift a member may get the second earliest.
+        """
+        label = components(links)
+        left = written(label.join(first, label.id == first.rep).select("label", "rep", "first"), "family")
+        if left.count() == 0:
+            return left.select(F.col("rep").alias("a"), F.col("first").alias("near")).limit(0)
+        bodies = self.touched("prints", left.select(F.col("rep").alias("id")))
+        found, heads = None, self.heads
+        while True:
+            place = F.row_number().over(W.partitionBy("label").orderBy("first", "rep"))
+            lead = written(left.withColumn("k", place).where(F.col("k") <= heads).select("label", F.col("rep").alias("r"), F.col("first").alias("f")), "lead")
+            far = left.join(lead, "label").where("rep != r and f < first").select(F.col("rep").alias("m"), "r", "f")
+            # what the windows verified already needs no second look
+            pair = far.select(F.least("m", "r").alias("a"), F.greatest("m", "r").alias("b"))
+            more = written(verified(pair.join(candidates, ["a", "b"], "left_anti"), bodies, self.share).unionByName(pair.join(links, ["a", "b"], "left_semi")), "more")
+            reach = far.join(more, (F.least("m", "r") == more.a) & (F.greatest("m", "r") == more.b)).groupBy("m").agg(F.min("f").alias("near")).withColumnRenamed("m", "a")
+            reach = written(reach, "reach")
+            made += [lead, more, reach]
+            found = reach if found is None else found.unionByName(reach)
+            rest = left.join(lead.select(F.col("r").alias("rep")), "rep", "left_anti").join(reach.select(F.col("a").alias("rep")), "rep", "left_anti")
+            rest = written(rest.select("label", "rep", "first"), "family")
+            made.append(left)
+            left, heads = rest, min(2 * heads, 256)
+            if left.limit(1).count() == 0:
+                made.append(left)
+                return found
+
 
 def against_history(sources: DataFrame, chunks: DataFrame, edges: list | None = None, **options) -> DataFrame:
     """(id, first) over a whole table, taken in as batches: ``edges`` are the instants at which a new batch begins.
@@ -345,5 +499,5 @@ def against_history(sources: DataFrame, chunks: DataFrame, edges: list | None =
         if hi is not None:
             part = part.where(F.col("ingest_ts") < F.lit(hi))
         own = chunks if lo is None and hi is None else chunks.join(part.select(F.col("id").alias("source_id")).distinct(), "source_id", "left_semi")
-        found.append(h.add(fingerprints(part, own)))
+        found.append(h.add(fingerprints(part, own), part.count()))
     return functools.reduce(DataFrame.unionByName, found)

@@ -137,7 +137,9 @@ def trie_join(words: DataFrame, column: str = "word") -> DataFrame:
     w = words.where(F.col(column).isNotNull()).select(F.col(column).alias("w")).distinct().where(F.char_length("w") >= 5)
     halves = F.array_distinct(F.transform(F.array(*[F.floor((F.char_length("w") + d) / 2).cast("int") - 1 for d in (-1, 0, 1)]), lambda n: F.greatest(n, F.lit(1))))
     keyed = w.select("w", F.explode(halves).alias("n")).select("w", F.explode(F.array(F.concat_ws(":", F.lit("a"), "n", F.expr("left(w, n)")), F.concat_ws(":", F.lit("z"), "n", F.expr("right(w, n)")))).alias("shard"))
-    spread = keyed.withColumn("many", F.count("*").over(W.partitionBy("shard"))).where("many > 1").select("shard", "w")
+    # the words are short and the walks are long: as many tasks as the session has partitions, not as few as the bytes would fill
+    tasks = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = keyed.repartition(tasks, "shard").withColumn("many", F.count("*").over(W.partitionBy("shard"))).where("many > 1").select("shard", "w")
 
     def run(table: pa.Table) -> pa.Table:
         own = sorted(set(table["w"].to_pylist()))
@@ -427,7 +429,8 @@ def link(entities: DataFrame, key: str = "id", name: str = "name", common: int =
         labels = resolve_orgs(forms_) if kind == "org" else resolve_people(forms_, {r["rest"][0] for r in got if r["common"]})
         return pa.table({"name": pa.array([r["name"] for r in got], pa.string()), "cluster": pa.array([f"{kind}:{block_}:{labels[shapes[(r['anchor'], *r['rest'])]]}" for r in got], pa.string())})
 
-    clusters = known.groupBy("block", "kind").applyInArrow(settle, "name string, cluster string")
+    tasks = int(known.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    clusters = known.repartition(tasks, "block", "kind").groupBy("block", "kind").applyInArrow(settle, "name string, cluster string")
     clusters = clusters.unionByName(forms.where("kind = 'other'").select("name", F.concat(F.lit("other:"), "anchor").alias("cluster")))
     return rows.join(clusters, "name").select(F.col("key").alias(key), "cluster")
 

@@ -81,6 +81,50 @@ def test_large_family_finds_its_first(spark):
     assert {r["first"] for r in history.against_history(s, c, window=2).collect()} == {1}
 
 
+def test_drifting_family_finds_each_first(spark):
+    def body(k):  # each body shares a tenth less with the first; those three steps apart repeat each other no more
+        return text(70, 300).split()[: 300 - 30 * k] + [w for j in range(k) for w in text(80 + j, 30).split()]
+
+    steps = [" ".join(body(k)) for k in range(8)]
+    bodies = [steps[k] + f" end{k}x{i}" for i in range(5) for k in range(8)]
+    s, c = sources_and_chunks(spark, bodies)
+    w = [history.words_of(b) for b in bodies]
+    want = {}
+    for i in range(len(bodies)):
+        first = next((j for j in range(i) if history.same_body(w[j], w[i])), None)  # as the operator asks
+        if first is not None:
+            want[i + 1] = first + 1
+    got = {r["id"]: r["first"] for r in history.against_history(s, c, window=4).collect()}
+    assert got == want
+
+
+def test_windows_cross_the_borders_of_ranges(spark):
+    rows = [(0, 5, i // 40, 0, i, i % 3 == 0) for i in range(400)] + [(1, 7, 0, 0, i, True) for i in range(0, 400, 50)]
+    d = spark.createDataFrame(rows, "key_no int, k0 long, k1 long, k2 long, id long, new boolean")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {tuple(r) for r in history.windows(d.repartition(8), 5, agree=1).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    want = {(i, j) for i in range(400) for j in range(i + 1, min(400, i + 6)) if i % 3 == 0 or j % 3 == 0}
+    own = list(range(0, 400, 50))
+    assert got == want | {(own[a], own[b]) for a in range(8) for b in range(a + 1, min(8, a + 6))}
+
+
+def test_a_batch_opens_few_ranges(spark):
+    r = random.Random(1)
+    bodies = [text(r.randrange(10**6), 60) for _ in range(240)]
+    bodies += [bodies[k] + " again" for k in range(5)]
+    s, c = sources_and_chunks(spark, bodies)
+    h = history.History(spark, rows_a_range=8, most_ranges=512, measure=True)
+    h.add(history.fingerprints(s.where("id <= 120"), c), 120)
+    h.add(history.fingerprints(s.where("id > 120 and id <= 240"), c), 120)
+    h.rows_read.clear()
+    found = h.add(history.fingerprints(s.where("id > 240"), c), 5)
+    assert {tuple(x) for x in found.collect()} == {(240 + k, k) for k in range(1, 6)}
+    assert h.rows_read["runs"] < 0.6 * 240 * history.KEYS and h.rows_read["names"] < 100 and h.rows_read["classes"] < 200 and h.rows_read["prints"] < 400  # three looks
+
+
 # 2: variant spellings
 
 
