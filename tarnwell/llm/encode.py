@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,12 +33,27 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 def encoder(path: str):
     """The encoding of a rank file; strings that look like special tokens are plain text."""
     import tiktoken
-
-    with open(path, "rb") as f:
+    from pyspark import SparkFiles
+
+    name = os.path.basename(path)
+    try:
+        shipped = SparkFiles.get(name)
+    except Exception:  # no session here
+        shipped = path
+    with open(shipped if os.path.exists(shipped) else path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     return tiktoken.Encoding("public", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+def ship_tokenizer(spark, path: str) -> None:
+    """Gives the executors the rank file, once a session, so that nothing depends on their own disks."""
+    sc = spark.sparkContext
+    sent = getattr(sc, "_tarnwell_tokenizers", set())
+    if path not in sent and os.path.exists(path):
+        sc.addFile(path)
+        sc._tarnwell_tokenizers = sent | {path}
+
+
 @functools.lru_cache(maxsize=1)
 def _pattern():
     import regex
@@ -82,12 +98,19 @@ def _encode_in_place(df: DataFrame, key: str, text: str, path: str, rows: int =
 def long_text_pieces(df: DataFrame, key: str, text: str, window: int, overlap: int) -> DataFrame:
     """(key, piece_no, piece) for the texts of ``df``, which are all longer than ``window``."""
     d = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    n = F.char_length("text")
-    windows = d.select("key", n.alias("n"), F.posexplode(F.sequence(F.lit(0), F.floor((n - 1) / window).cast("int"))).alias("j", "_j"), "text").select(
-        "key", "n", "j",
-        F.greatest(F.lit(0), F.col("j") * window - overlap).alias("start"),
-        F.expr(f"substring(text, int(greatest(0, j * {window} - {overlap}) + 1), int(least(n, (j + 1) * {window} + {overlap}) - greatest(0, j * {window} - {overlap})))").alias("part"),
-    )
+    kind = df.schema[key].dataType
+
+    def cut(batches):  # one walk along each text, whatever its length
+        for b in batches:
+            for i in range(b.num_rows):
+                t = b.column(1)[i].as_py()
+                for j in range(-(-len(t) // window)):
+                    start = max(0, j * window - overlap)
+                    part = t[start : min(len(t), (j + 1) * window + overlap)]
+                    yield pa.RecordBatch.from_arrays([b.column(0).slice(i, 1), pa.array([len(t)], pa.int32()), pa.array([j], pa.int32()), pa.array([start], pa.int32()), pa.array([part])], names=["key", "n", "j", "start", "part"])
+
+    ints = [T.StructField(c, T.IntegerType()) for c in ("n", "j", "start")]
+    windows = d.mapInArrow(cut, T.StructType([T.StructField("key", kind), *ints, T.StructField("part", T.StringType())]))
 
     def run(batches):
         for b in batches:
@@ -101,7 +124,6 @@ def long_text_pieces(df: DataFrame, key: str, text: str, window: int, overlap: i
                 tail = [x for x in own if to - overlap <= x <= to + overlap] if end < n_ else []
                 yield pa.RecordBatch.from_pydict({"key": pa.array([key_], b.schema.field(0).type), "j": pa.array([j], pa.int32()), "head": pa.array([head], pa.list_(pa.int64())), "tail": pa.array([tail], pa.list_(pa.int64()))})
 
-    kind = df.schema[key].dataType
     longs = T.ArrayType(T.LongType())
     seen = windows.repartition("key", "j").mapInArrow(run, T.StructType([T.StructField("key", kind), T.StructField("j", T.IntegerType()), T.StructField("head", longs), T.StructField("tail", longs)]))
     order = W.partitionBy("key").orderBy("j")
@@ -110,10 +132,17 @@ def long_text_pieces(df: DataFrame, key: str, text: str, window: int, overlap: i
         .groupBy("key")
         .agg(F.array_sort(F.array_distinct(F.array_compact(F.collect_list("cut")))).alias("cuts"))
     )
-    joined = d.join(cuts, "key").withColumn("edges", F.concat(F.array(F.lit(0).cast("long")), "cuts", F.array(n.cast("long"))))
-    return joined.select(
-        "key", "text", F.posexplode(F.expr("transform(sequence(1, size(edges) - 1), i -> struct(edges[i - 1] as a, edges[i] as b))")).alias("piece_no", "e")
-    ).select("key", "piece_no", F.expr("substring(text, int(e.a) + 1, int(e.b - e.a))").alias("piece"))
+
+    def pieces(batches):
+        for b in batches:
+            for i in range(b.num_rows):
+                t, at = b.column(1)[i].as_py(), b.column(2)[i].as_py()
+                edges = [0, *at, len(t)]
+                for k, (x, y) in enumerate(zip(edges, edges[1:], strict=False)):
+                    yield pa.RecordBatch.from_arrays([b.column(0).slice(i, 1), pa.array([k], pa.int32()), pa.array([t[x:y]])], names=["key", "piece_no", "piece"])
+
+    out = T.StructType([T.StructField("key", kind), T.StructField("piece_no", T.IntegerType()), T.StructField("piece", T.StringType())])
+    return d.join(cuts, "key").select("key", "text", "cuts").mapInArrow(pieces, out)
 
 
 def encode(df: DataFrame, key: str = "doc_id", text: str = "text", tokenizer: str = TOKENIZER, window: int = 65_536, overlap: int = 512) -> DataFrame:
@@ -123,6 +152,7 @@ def encode(df: DataFrame, key: str = "doc_id", text: str = "text", tokenizer: st
     repeated result row up to ``window`` code points; of rows with one key and longer texts that key must be unique.
     An empty table gives an empty table. ``window`` only decides how the work is split, never the ids.
     """
+    ship_tokenizer(df.sparkSession, tokenizer)
     n = F.char_length(text)
     short = _encode_in_place(df.where(n.isNull() | (n <= window)), key, text, tokenizer)
     pieces = long_text_pieces(df.where(n > window), key, text, window, overlap)
@@ -137,6 +167,7 @@ def encode(df: DataFrame, key: str = "doc_id", text: str = "text", tokenizer: st
 
 def decode(df: DataFrame, key: str = "doc_id", ids: str = "ids", tokenizer: str = TOKENIZER) -> DataFrame:
     """(key, text): the raw bytes of the ids put together, then read as UTF-8 (undecodable bytes become U+FFFD)."""
+    ship_tokenizer(df.sparkSession, tokenizer)
 
     def run(batches):
         for b in batches:
@@ -151,6 +182,7 @@ def decode(df: DataFrame, key: str = "doc_id", ids: str = "ids", tokenizer: str
 
 def token_counts(df: DataFrame, key: str = "doc_id", text: str = "text", tokenizer: str = TOKENIZER) -> DataFrame:
     """(key, n_tokens); null and empty texts have 0."""
+    ship_tokenizer(df.sparkSession, tokenizer)
 
     def run(batches):
         for b in batches:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnwell.llm import boilerplate, cluster, encode, history, names, pack, reading, split, vectors
+from tarnwell.session import written
 from tarnwell.sources.tables import project_slug, table
 
 
@@ -83,7 +84,8 @@ def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
 
 def p9_containers(spark: SparkSession, folder: str) -> DataFrame:
     """Every document, or part of one above 2,048 tokens, with its container."""
-    return pack.pack(encode.token_counts(table(spark, folder, "documents")))
+    counts = written(encode.token_counts(table(spark, folder, "documents")), "sizes")  # the range partitions below are sampled first: count once
+    return pack.pack(counts)
 
 
 def p10_found(spark: SparkSession, folder: str) -> DataFrame:

@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
+from tarnwell.session import written
+
 #: Fixed value: the characters Unicode calls white space (Java and the regex module know them by this property).
 SPACE = r"\p{IsWhite_Space}"
 
@@ -170,7 +172,7 @@ def rechunk(chunks: DataFrame, **limits: int) -> DataFrame:
     count once; of rows that share (source_id, chunk_index) the smaller id reads first; a null index reads last.
     """
     c = chunks.select("id", "source_id", "chunk_index", "content").dropDuplicates(["id"])
-    pieces = split_oversized(c, "id", "content", **limits)
+    pieces = written(split_oversized(c, "id", "content", **limits), "pieces")  # counted and joined below: split once
     sizes = pieces.groupBy("id").agg(F.count("*").alias("n"))
     order = W.partitionBy("source_id").orderBy(F.col("chunk_index").asc_nulls_last(), "id").rowsBetween(W.unboundedPreceding, -1)
     base = c.select("id", "source_id", "chunk_index").join(sizes, "id", "left").withColumn("base", F.coalesce(F.sum(F.coalesce("n", F.lit(1))).over(order), F.lit(0))).where("n is not null")
