@@ -266,26 +266,29 @@ def furniture(
 
     def run(batches):
         for b in batches:
-            for row, got in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                bad, below = [r["furniture"] for r in got], [False] * len(got)
-                under = False
-                for i, r in enumerate(got):
-                    if r["furniture"]:
-                        under = r["opens"]
-                    elif under and r["teaser"]:
-                        below[i] = True
+            edges, cells = b.column(1).offsets.to_pylist(), b.column(1).values
+            no, furn, opens_, teaser, titled, ended, related, chars, shape = (cells.field(c).to_pylist() for c in ("line_no", "furniture", "opens", "teaser", "titled", "ended", "related", "chars", "shape"))
+            out: list[list] = [[], [], [], [], []]
+            for row, lo, hi in zip(b.column(0).to_pylist(), edges, edges[1:], strict=False):
+                bad, below, under = furn[lo:hi], [False] * (hi - lo), False
+                for i in range(lo, hi):
+                    if furn[i]:
+                        under = opens_[i]
+                    elif under and teaser[i]:
+                        below[i - lo] = True
                     else:
                         under = False
-                for i, r in enumerate(got):  # smoothing: a short stray line among furniture
-                    if not bad[i] and not r["ended"] and not r["titled"] and not r["related"] and r["chars"] <= 60 and r["shape"] == "~":
-                        left = i > 0 and (bad[i - 1] or below[i - 1])
-                        right = i == len(got) - 1 or bad[i + 1]
-                        bad[i] = left and right
-                keep = [i for i, r in enumerate(got) if bad[i] or below[i] or (r["teaser"] and not r["titled"])]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([row] * len(keep), pa.int64()), pa.array([got[i]["line_no"] for i in keep], pa.int64()), pa.array([bad[i] for i in keep], pa.bool_()), pa.array([below[i] for i in keep], pa.bool_()), pa.array([got[i]["shape"] for i in keep], pa.string())],
-                    names=["row_id", "line_no", "bad", "below", "shape"],
-                )
+                n = hi - lo
+                for i in range(n):  # smoothing: a short stray line among furniture
+                    j = lo + i
+                    if not bad[i] and shape[j] == "~" and not ended[j] and not titled[j] and not related[j] and chars[j] <= 60:
+                        bad[i] = i > 0 and (bad[i - 1] or below[i - 1]) and (i == n - 1 or bad[i + 1])
+                for i in range(n):
+                    if bad[i] or below[i] or (teaser[lo + i] and not titled[lo + i]):
+                        for c, v in zip(out, (row, no[lo + i], bad[i], below[i], shape[lo + i]), strict=True):
+                            c.append(v)
+            kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["row_id", "line_no", "bad", "below", "shape"])
 
     walked = written(page.mapInArrow(run, "row_id long, line_no long, bad boolean, below boolean, shape string"), "walked")
     # the last path: below an opening line / shape of the line; headings have shapes that stand elsewhere too
