@@ -10,7 +10,8 @@ from pyspark.sql import Window as W
 from tarnwell.config import RetrievalConfig
 from tarnwell.functions.text import dated_title, folder_name, usable
 from tarnwell.operators import evaluate, fusion, governance, graph, routing
-from tarnwell.plans.common import CEN, CH, ENT, PG, SRC, VEC, chunks, entities, ok, pages, slug, sources, vectors
+from tarnwell.plans.chunkers import _INDEX
+from tarnwell.plans.common import CH, ENT, PG, SRC, VEC, chunks, entities, ok, pages, slug, sources, vectors
 from tarnwell.plans.registry import query
 from tarnwell.session import shared_folder
 from tarnwell.sources import extract, sinks
@@ -167,6 +168,30 @@ def label_problems(spark, folder):
     return entities(spark, folder).select("id", sinks.label_problem(text).alias("problem"))
 
 
+@query("SELECT 's' || n_regionkey AS section_id, n_nationkey AS chunks, r_name AS title FROM nation JOIN region ON n_regionkey = r_regionkey".replace("n_nationkey AS chunks", "count(*) AS chunks") + " GROUP BY ALL")
+def run_files(spark, folder):
+    """A research run's plan and chunks read back: the chunks of each section of the outline."""
+    import json
+
+    root = _folder(spark, "run")
+    regions, nations = table(spark, folder, "region").collect(), table(spark, folder, "nation").collect()
+    _put(spark, f"{root}/plan.json", json.dumps({"topic": "t", "sub_questions": [], "section_outline": [{"section_id": f"s{r['r_regionkey']}", "title": r["r_name"]} for r in regions]}))
+    _put(spark, f"{root}/chunks.json", json.dumps([{"chunk_id": f"s{n['n_regionkey']}_c{n['n_nationkey']}", "section_id": f"s{n['n_regionkey']}", "text": n["n_name"]} for n in nations]))
+    plan, c = extract.read_run(spark, root)
+    outline = plan.select(F.inline("section_outline")).select("section_id", "title")
+    return outline.join(c, "section_id").groupBy("section_id", "title").agg(F.count("*").alias("chunks"))
+
+
+@query("SELECT 'p' || n_nationkey AS project, trim(n_name) || ' is a place in region number ' || n_regionkey AS label FROM nation WHERE n_nationkey % 3 <> 0")
+def written_labels(spark, folder):
+    """Labels written for two of three nations, the third being a marker, and read back."""
+    root = _folder(spark, "labels")
+    n = table(spark, folder, "nation")
+    text = F.when(F.col("n_nationkey") % 3 == 0, "TODO").otherwise(F.concat(F.lit("  "), F.trim("n_name"), F.lit(" is  a place\nin region number "), "n_regionkey"))
+    sinks.write_labels(n.select(F.concat(F.lit("p"), "n_nationkey").alias("project"), text.alias("label")), "project", "label", root)
+    return spark.read.parquet(root).select("project", "label")
+
+
 @query("SELECT day, n, row_number() OVER (ORDER BY day) AS entry FROM (SELECT date_trunc('day', ts) AS day, count(*) AS n FROM events GROUP BY 1)")
 def activity_log(spark, folder):
     """A log of each day's events, appended in two goes and read back."""
@@ -212,6 +237,15 @@ def published_version(spark, folder):
     return sinks.current(spark, root)
 
 
+@query(f"WITH {_INDEX} SELECT doc_id AS source_id, count(*) AS chunks FROM chunk GROUP BY doc_id")
+def rebuilt_index(spark, folder):
+    """The whole index rebuilt from the documents, checked by a smoke query, and the chunks of each document in it."""
+    root = _folder(spark, "index")
+    d = table(spark, folder, "documents").select(F.col("doc_id").alias("source_id"), F.coalesce(project_slug(F.col("project")), F.lit("none")).alias("project"), "text").dropDuplicates(["source_id"])
+    sinks.rebuild(d, table(spark, folder, "projects").select("slug"), root, "v1", "the water of the lock")
+    return spark.read.parquet(f"{root}/chunks/{sinks.current_version(spark, root)}").groupBy("source_id").agg(F.count("*").alias("chunks"))
+
+
 @query("SELECT run, round(m, 6) AS ndcg, i = 5 AS last FROM (SELECT event_type AS run, avg(value) / 1000 AS m, row_number() OVER (ORDER BY event_type) AS i FROM events GROUP BY 1)")
 def evaluation_log(spark, folder):
     """Runs appended one by one (a kind of event stands for a run), and the newest one beside the questions."""

@@ -175,6 +175,15 @@ def cited_sources(spark, folder):
     return _lines(pages(spark, folder), _cited(spark, folder))
 
 
+@query(rf"""WITH {_DRAFT} SELECT row_id, file_name, (row_number() OVER (PARTITION BY file_name ORDER BY {_SEC}, {_NUM}, row_id))::INTEGER AS place FROM p WHERE (file_name, chunk_id) IN (SELECT file_name, chunk_id FROM ct)""")
+def sources_order(spark, folder):
+    """The place of each cited page in its file's sources table, by section and chunk number."""
+    p = pages(spark, folder)
+    rows = research.sources_table(p.withColumn("scope", F.concat_ws("\0", "file_name", "row_id")), _cited(spark, folder).join(p.select("file_name", "chunk_id", "row_id"), ["file_name", "chunk_id"]).select(F.concat_ws("\0", "file_name", "row_id").alias("scope"), "chunk_id"), "scope")
+    d = rows.select(F.split("scope", "\0")[0].alias("file_name"), F.split("scope", "\0")[1].cast("long").alias("row_id"), "sec", "num")
+    return d.select("row_id", "file_name", F.row_number().over(W.partitionBy("file_name").orderBy("sec", "num", "row_id")).alias("place"))
+
+
 def _lines(p, cited):
     rows = research.sources_table(p.withColumn("scope", F.concat_ws("\0", "file_name", "row_id")), cited.join(p.select("file_name", "chunk_id", "row_id"), ["file_name", "chunk_id"]).select(F.concat_ws("\0", "file_name", "row_id").alias("scope"), "chunk_id"), "scope")
     return rows.select(F.element_at(F.split("scope", "\0"), 2).cast("long").alias("row_id"), "line")

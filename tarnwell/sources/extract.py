@@ -76,11 +76,28 @@ def read_searchers(spark: SparkSession, path: str) -> DataFrame:
     return raw.select("file_name", F.posexplode(checked).alias("pos", "rec"))
 
 
-def best_report(spark: SparkSession, candidates: list[str]) -> DataFrame:
-    """The first of the report files that exists, in the order given."""
+def existing(spark: SparkSession, candidates: list[str]) -> str:
+    """The first of the files that exists, in the order given; an error if none does."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     for c in candidates:
         p = jvm.org.apache.hadoop.fs.Path(c)
         if p.getFileSystem(conf).exists(p):
-            return spark.read.json(c, multiLine=True)
+            return c
     raise FileNotFoundError(", ".join(candidates))
+
+
+def best_report(spark: SparkSession, candidates: list[str]) -> DataFrame:
+    """The first of the report files that exists, in the order given."""
+    return spark.read.json(existing(spark, candidates), multiLine=True)
+
+
+#: What a research run's files hold: the plan's outline in order, and its chunks.
+PLAN = "topic string, sub_questions array<string>, section_outline array<struct<section_id: string, title: string, source_routing_hints: array<string>>>"
+CHUNKS = "chunk_id string, section_id string, source_url string, source_title string, fetched_at string, sub_question_origin string, text string"
+
+
+def read_run(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """(plan, chunks) of a research run from its plan.json and chunks.json; a missing file raises at once."""
+    for name in ("plan.json", "chunks.json"):
+        existing(spark, [f"{folder}/{name}"])
+    return spark.read.schema(PLAN).json(f"{folder}/plan.json", multiLine=True), spark.read.schema(CHUNKS).json(f"{folder}/chunks.json", multiLine=True)

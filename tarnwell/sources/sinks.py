@@ -39,9 +39,13 @@ def publish(df: DataFrame, folder: str, version: str) -> int:
     return n
 
 
+def current_version(spark: SparkSession, folder: str) -> str:
+    return spark.read.text(f"{folder}/current").first()[0]
+
+
 def current(spark: SparkSession, folder: str) -> DataFrame:
     """The version that ``current`` points to."""
-    return spark.read.parquet(f"{folder}/{spark.read.text(f'{folder}/current').first()[0]}")
+    return spark.read.parquet(f"{folder}/{current_version(spark, folder)}")
 
 
 def missing_projects(chunks: DataFrame, projects: DataFrame, dim: int) -> DataFrame:
@@ -100,6 +104,14 @@ def label_problem(c: Column, cfg: RetrievalConfig | None = None) -> Column:
     )
 
 
+def write_labels(df: DataFrame, key: str, label: str, folder: str, cfg: RetrievalConfig | None = None) -> DataFrame:
+    """Writes the labels that are fit, white space collapsed, over those of their projects; returns the refused (key, reason)."""
+    d = df.withColumn("reason", label_problem(F.col(label), cfg))
+    good = d.where("reason is null").select(key, F.trim(F.regexp_replace(label, r"\s+", " ")).alias(label)).dropDuplicates([key])
+    good.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(folder)
+    return d.where("reason is not null").select(key, "reason")
+
+
 def append_log(spark: SparkSession, path: str, rows: DataFrame) -> None:
     """Appends JSON lines to a log folder."""
     rows.write.mode("append").json(path)
