@@ -31,8 +31,8 @@ def scored(relevant: DataFrame, n: DataFrame, k: int = 10, recall_k: int = 5) ->
 
 
 def summary(m: DataFrame, questions: int) -> DataFrame:
-    """The means over all ``questions``, those without a row counting 0."""
-    return m.agg(*[F.round(F.coalesce(F.sum(c), F.lit(0.0)) / questions, 6).alias(c) for c in ("ndcg", "mrr", "recall")], F.lit(questions).alias("questions_run"))
+    """The means over all ``questions``, those without a row counting 0; without questions all means are 0."""
+    return m.agg(*[F.round(F.coalesce(F.sum(c), F.lit(0.0)) / max(questions, 1), 6).alias(c) for c in ("ndcg", "mrr", "recall")], F.lit(questions).alias("questions_run"))
 
 
 def drops(runs: DataFrame, order: str, columns: list[str], least: float = 0.05) -> DataFrame:

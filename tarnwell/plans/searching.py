@@ -68,7 +68,7 @@ def batched_search(spark, folder):
 _OFF = {"full": {}} | {f"no_{p}": {p: False} for p in ("vector", "bm25", "rrf", "decomposition", "reranker", "graph")}
 _ASKED = f"q0 AS (SELECT s.id AS query_id, s.title || ' and what was written of it in the years after the repair of the gate, or ' || coalesce(n.title, 'of the Canal') AS text FROM {SRC} s LEFT JOIN {SRC} n ON n.id = s.id + 1 WHERE s.id % 50 = 0 AND s.title IS NOT NULL)"
 _METRICS = "x AS (SELECT query_id, count(c.id) AS n FROM q0 JOIN c ON c.source_id = query_id GROUP BY query_id), " + ", ".join(
-    f"m{i} AS (SELECT '{name}' AS run, round(coalesce(sum(dcg / idcg), 0) / (SELECT count(*) FROM q0), 6) AS ndcg, round(coalesce(sum(mrr), 0) / (SELECT count(*) FROM q0), 6) AS mrr, round(coalesce(sum(hit / n), 0) / (SELECT count(*) FROM q0), 6) AS recall FROM ("
+    f"m{i} AS (SELECT '{name}' AS run, round(coalesce(sum(dcg / idcg), 0) / (SELECT greatest(count(*), 1) FROM q0), 6) AS ndcg, round(coalesce(sum(mrr), 0) / (SELECT greatest(count(*), 1) FROM q0), 6) AS mrr, round(coalesce(sum(hit / n), 0) / (SELECT greatest(count(*), 1) FROM q0), 6) AS recall FROM ("
     f"SELECT x.query_id, n, (SELECT sum(1 / log2(j + 1)) FROM range(1, 11) r(j) WHERE j <= x.n) AS idcg, coalesce(sum(1 / log2(rank + 1)) FILTER (WHERE ok), 0) AS dcg, coalesce(max(1.0 / rank) FILTER (WHERE ok), 0) AS mrr, count(*) FILTER (WHERE ok AND rank <= 5) AS hit "
     f"FROM x LEFT JOIN (SELECT o.query_id, o.rank, c.source_id = o.query_id AS ok FROM out{i} o JOIN c ON c.id = o.id) k USING (query_id) GROUP BY x.query_id, n))"
     for i, name in enumerate(_OFF)
