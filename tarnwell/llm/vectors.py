@@ -177,7 +177,7 @@ def near(reps: DataFrame, k: int, floor: float, curves: int, block: int, span: i
                     v = sim[i, j]
                 yield pa.RecordBatch.from_arrays([pa.array([spaces[lo]] * len(i), pa.string()), pa.array(ids[rows][i]), pa.array(ids[a:z][j]), pa.array(v.astype(np.float32))], names=["space", "a", "b", "cos"])
 
-    found = at.repartitionByRange(tasks, "space", "curve", "at").sortWithinPartitions("space", "curve", "at", "rep").mapInArrow(compare, "space string, a long, b long, cos float")
+    found = at.repartitionByRange(tasks, "space", "curve", "at", "rep").sortWithinPartitions("space", "curve", "at", "rep").mapInArrow(compare, "space string, a long, b long, cos float")
     merged = found.groupBy("space", "a", "b").agg(F.max("cos").alias("cos"))
     rank = F.row_number().over(W.partitionBy("space", "a").orderBy(F.desc("cos"), "b"))
     return merged.withColumn("_r", rank).where(F.col("_r") <= k).drop("_r")
