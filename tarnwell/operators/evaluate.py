@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -35,6 +35,11 @@ def summary(m: DataFrame, questions: int) -> DataFrame:
     return m.agg(*[F.round(F.coalesce(F.sum(c), F.lit(0.0)) / max(questions, 1), 6).alias(c) for c in ("ndcg", "mrr", "recall")], F.lit(questions).alias("questions_run"))
 
 
+def summaries(m: DataFrame, questions: int, by: Column, name: str) -> DataFrame:
+    """(name, ndcg, mrr, recall): ``summary`` of several runs, ``by`` telling them apart; a run without any row has none here."""
+    return m.groupBy(by.alias(name)).agg(*[F.round(F.coalesce(F.sum(c), F.lit(0.0)) / max(questions, 1), 6).alias(c) for c in ("ndcg", "mrr", "recall")])
+
+
 def drops(runs: DataFrame, order: str, columns: list[str], least: float = 0.05) -> DataFrame:
     """(order, metric, fall): metrics that fell by ``least`` or more from the run before; null counts as 0."""
     w = W.partitionBy(F.lit(0)).orderBy(order)  # runs are few: one row an evaluation

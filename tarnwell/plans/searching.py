@@ -50,7 +50,7 @@ def _store(spark, folder):
     from tarnwell.search import Store
 
     c = chunks(spark, folder).select("id", project_slug(F.col("project")).alias("project"), "source_id", "chunk_index", "content", "token_count", F.when(usable(F.col("embedding")), F.col("embedding")).alias("embedding"))
-    return Store(written(c, "chunks")).indexed()
+    return Store(written(c, "chunks"))
 
 
 _TITLES = f"q0 AS (SELECT id AS query_id, title AS text FROM {SRC} WHERE id % 50 = 0)"
@@ -79,7 +79,7 @@ _METRICS = "x AS (SELECT query_id, count(c.id) AS n FROM q0 JOIN c ON c.source_i
        " SELECT e.run, e.ndcg, e.mrr, e.recall, round(e.ndcg - f.ndcg, 6) AS ndcg_delta, round(e.mrr - f.mrr, 6) AS mrr_delta, round(e.recall - f.recall, 6) AS recall_delta FROM every e, (SELECT * FROM every WHERE run = 'full') f")
 def ablation(spark, folder):
     """Each component of the search switched off in turn: the metrics over long questions, and what they lose; a source's own chunks are expected."""
-    from tarnwell.search import search
+    from tarnwell.search import searches
 
     s = sources(spark, folder).select("id", "title")
     nxt = s.select((F.col("id") - 1).alias("id"), F.col("title").alias("t"))
@@ -87,9 +87,9 @@ def ablation(spark, folder):
     q = written(q, "questions")
     store, n = _store(spark, folder), q.count()
     expected = store.chunks.select(F.col("source_id").alias("query_id"), F.col("id").alias("item")).join(q.select("query_id"), "query_id", "left_semi")
-    runs = None
-    for name, cfg in RetrievalConfig().ablations().items():
-        found = search(q, store, cfg).select("query_id", F.col("id").alias("item"), "rank")
-        m = evaluate.summary(evaluate.metrics(found, expected), n).select(F.lit(name).alias("run"), "ndcg", "mrr", "recall")
-        runs = m if runs is None else runs.unionByName(m)
-    return evaluate.deltas(written(runs, "runs"))
+    names = list(RetrievalConfig().ablations())
+    at = F.struct("run", "query_id")  # a question of a run counts as a query of its own
+    found = searches(q, store, RetrievalConfig().ablations()).select(at.alias("query_id"), F.col("id").alias("item"), "rank")
+    runs = spark.createDataFrame([(x,) for x in names], "run string")
+    m = evaluate.metrics(found, expected.crossJoin(F.broadcast(runs)).select(at.alias("query_id"), "item"))
+    return evaluate.deltas(written(runs.join(evaluate.summaries(m, n, F.col("query_id.run"), "run"), "run", "left").na.fill(0.0), "runs"))
