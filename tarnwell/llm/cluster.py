@@ -2,8 +2,10 @@
 
 A vector's set holds the ``top`` directions, of a fixed random family, that it points along most. MinHash bands of
 these sets put vectors into buckets; in each bucket the first vector leads, those that the exact Jaccard similarity
-of their sets rejects have their own first as the next leader, and so on until none is left. A bucket of any size
-gives no more pairs than it has members, and takes members times groups of the bucket comparisons.
+of their sets rejects have their own first as the next leader, and so on until none is left. Members of different
+leaders are compared too, and a pair that joins what isn't joined yet is added, so that the components are those of
+all similar pairs of all buckets. A bucket of any size gives fewer than two pairs a member; it is held by one task,
+which compares all its members that aren't known to be of one component.
 Components of the verified pairs are groups if they are tight, that is if their mean unit vector is long. Loose
 ones, which a few chance pairs chained together, are split around their vertices of highest degree. Every vector,
 paired or not, then belongs to the group whose mean is nearest, if its cosine to that mean is high enough.
@@ -57,10 +59,41 @@ def _sets(bits: np.ndarray) -> np.ndarray:
     return np.unpackbits(np.ascontiguousarray(bits).view(np.uint8), axis=1).astype(np.float32)
 
 
-def led_pairs(batches, least: float, rows: int = 256, leaders: int = 2048):
+def _joining(x: np.ndarray, y: np.ndarray, labels: list[np.ndarray]) -> list[int]:
+    """The places of those of the pairs of labels that join two that aren't joined yet; ``labels`` are brought up to date."""
+    parent: dict[int, int] = {}
+
+    def root(k: int) -> int:
+        while k in parent:
+            k = parent[k]
+        return k
+
+    out = []
+    _, first = np.unique(np.stack([x, y]), axis=1, return_index=True)
+    for i in np.sort(first).tolist():
+        u, v = root(int(x[i])), root(int(y[i]))
+        if u != v:
+            parent[v] = u
+            out.append(i)
+    if parent:
+        old = np.array(sorted(parent))
+        new = np.array([root(k) for k in old.tolist()])
+        for a in labels:
+            if len(a):
+                i = np.minimum(np.searchsorted(old, a), len(old) - 1)
+                a[:] = np.where(old[i] == a, new[i], a)
+    return out
+
+
+def led_pairs(batches, least: float, rows: int = 256, leaders: int = 2048, whole: bool = False):
     """Batches (a, b) from batches (band, bucket, id, f0, f1, f2, f3) in order: each member with the first leader of its
-    bucket that shares ``least`` directions with it; a member that no leader shares them with leads those after it."""
+    bucket that shares ``least`` directions with it; a member that no leader shares them with leads those after it.
+
+    With ``whole`` also a pair for any two that share them and that the pairs before don't join, at whatever distance.
+    """
     at, lead_ids, lead_bits = None, np.empty(0, np.int64), np.empty((0, 4), np.int64)
+    # with ``whole``, of the open bucket: the labels of its leaders, and all members with theirs; one label is one component
+    lead_label, all_ids, all_bits, all_label = lead_ids, lead_ids, lead_bits, lead_ids
     for batch in batches:
         cols = [c.to_numpy() for c in batch.columns]
         a, b = [], []
@@ -68,7 +101,8 @@ def led_pairs(batches, least: float, rows: int = 256, leaders: int = 2048):
             band, bucket, ids = (c[s : s + rows] for c in cols[:3])
             bits = np.stack([c[s : s + rows] for c in cols[3:]], axis=1)
             if at is None or (band[0], bucket[0]) != at:
-                lead_ids, lead_bits = lead_ids[:0], lead_bits[:0]
+                lead_ids, lead_bits, lead_label, all_ids, all_bits, all_label = lead_ids[:0], lead_bits[:0], lead_label[:0], all_ids[:0], all_bits[:0], all_label[:0]
+            label = ids.copy()
             x, free, left = _sets(bits), np.ones(len(ids), bool), np.flatnonzero((band == band[0]) & (bucket == bucket[0]))
             lo, step = 0, 64  # the oldest leaders have the most members
             while lo < len(lead_ids) and len(left):
@@ -77,6 +111,8 @@ def led_pairs(batches, least: float, rows: int = 256, leaders: int = 2048):
                 a.append(lead_ids[lo + hit[some].argmax(axis=1)])
                 b.append(ids[left[some]])
                 free[left[some]] = False
+                if whole:
+                    label[left[some]] = lead_label[lo + hit[some].argmax(axis=1)]
                 left, lo, step = left[~some], lo + step, leaders
             hit = (x @ x.T >= least) & (band[:, None] == band) & (bucket[:, None] == bucket)
             np.fill_diagonal(hit, False)
@@ -86,16 +122,36 @@ def led_pairs(batches, least: float, rows: int = 256, leaders: int = 2048):
                     a.append(np.full(len(own), ids[i]))
                     b.append(ids[own])
                     free[own] = False
+                    label[own] = label[i]
+            if whole:
+                i, j = np.nonzero(hit & (label[:, None] < label))
+                for k in _joining(label[i], label[j], [label, lead_label, all_label]) if len(i) else ():
+                    a.append(ids[i[k : k + 1]])
+                    b.append(ids[j[k : k + 1]])
+                first = np.flatnonzero((band == band[0]) & (bucket == bucket[0])) if len(all_ids) else ()
+                for lo in range(0, len(all_ids), leaders):
+                    one = (all_label[lo : lo + leaders] == all_label[lo]).all()
+                    some = first[label[first] != all_label[lo]] if one else first
+                    if not len(some):
+                        continue
+                    i, j = np.nonzero((x[some] @ _sets(all_bits[lo : lo + leaders]).T >= least) & (label[some][:, None] != all_label[lo : lo + leaders]))
+                    i, j = some[i], j + lo
+                    for k in _joining(label[i], all_label[j], [label, lead_label, all_label]) if len(i) else ():
+                        a.append(all_ids[j[k : k + 1]])
+                        b.append(ids[i[k : k + 1]])
             last = free & (band == band[-1]) & (bucket == bucket[-1])
             if (band[0], bucket[0]) != (band[-1], bucket[-1]):
-                lead_ids, lead_bits = lead_ids[:0], lead_bits[:0]
+                lead_ids, lead_bits, lead_label, all_ids, all_bits, all_label = lead_ids[:0], lead_bits[:0], lead_label[:0], all_ids[:0], all_bits[:0], all_label[:0]
+            if whole:
+                own = (band == band[-1]) & (bucket == bucket[-1])
+                lead_label, all_ids, all_bits, all_label = np.concatenate([lead_label, label[last]]), np.concatenate([all_ids, ids[own]]), np.concatenate([all_bits, bits[own]]), np.concatenate([all_label, label[own]])
             at, lead_ids, lead_bits = (band[-1], bucket[-1]), np.concatenate([lead_ids, ids[last]]), np.concatenate([lead_bits, bits[last]])
         if a:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
 
 
-def verified_pairs(vecs: DataFrame, dim: int, directions: int, top: int, bands: int, rows: int, jaccard: float) -> DataFrame:
-    """(a, b): vectors that share a bucket with one of its leaders and reach ``jaccard`` with it."""
+def verified_pairs(vecs: DataFrame, dim: int, directions: int, top: int, bands: int, rows: int, jaccard: float, whole: bool = False) -> DataFrame:
+    """(a, b): vectors that share a bucket with one of its leaders and reach ``jaccard`` with it; with ``whole`` also as many others as join all that reach it."""
 
     def keyed(batches):
         for b in batches:
@@ -115,7 +171,7 @@ def verified_pairs(vecs: DataFrame, dim: int, directions: int, top: int, bands:
     k = vecs.select("id", "vec").mapInArrow(keyed, "band int, bucket long, id long, f0 long, f1 long, f2 long, f3 long")
     least = 2 * top * jaccard / (1 + jaccard) - 1e-9  # |A & B| for this Jaccard, both sets having ``top`` members
     ordered = k.repartition("band", "bucket").sortWithinPartitions("band", "bucket", "id")
-    return ordered.mapInArrow(lambda batches: led_pairs(batches, least), "a long, b long").distinct()
+    return ordered.mapInArrow(lambda batches: led_pairs(batches, least, whole=whole), "a long, b long").distinct()
 
 
 def nearest(vecs: DataFrame, means: np.ndarray, dim: int) -> DataFrame:
@@ -228,7 +284,7 @@ def group_means(
     The driver sees the means of components, in blocks of ``leaders`` where they are small, and up to ``leaders``
     candidates for medoids a round, never members.
     """
-    edges = written(verified_pairs(vecs, dim, directions, top, bands, rows, jaccard), "pairs")
+    edges = written(verified_pairs(vecs, dim, directions, top, bands, rows, jaccard, whole=True), "pairs")
     label = components(edges)
     degree = edges.select(F.col("a").alias("id")).unionAll(edges.select(F.col("b").alias("id"))).groupBy("id").agg(F.count("*").alias("degree"))
     size = label.groupBy("label").agg(F.count("*").alias("size")).where(F.col("size") >= least)

@@ -10,6 +10,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -217,6 +218,33 @@ def test_all_groups_of_a_bucket_are_paired(spark):
     assert max(len(v) for v in leaders.values()) > 4
 
 
+def test_all_that_is_similar_in_a_bucket_is_joined():
+    r = np.random.default_rng(6)
+    key = np.sort(r.integers(0, 3, 900))
+    sets = np.zeros((900, 256), bool)
+    for s in sets:
+        s[r.integers(0, 18) + r.permutation(26)[:16]] = True  # each like those a few places beside it
+    bits = np.packbits(sets, axis=1).view(np.int64)
+    cols = [np.zeros(900, np.int32), key, r.permutation(900), *(np.ascontiguousarray(bits[:, i]) for i in range(4))]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["band", "bucket", "id", "f0", "f1", "f2", "f3"])
+    like = (sets.astype(int) @ sets.T.astype(int) >= 11) & (key[:, None] == key)
+    similar = {(int(cols[2][i]), int(cols[2][j])) for i, j in zip(*np.nonzero(like), strict=True)}
+
+    def parts(pairs):
+        of = list(range(900))
+        for a, b in pairs:
+            if of[a] != of[b]:
+                of = [of[a] if x == of[b] else x for x in of]
+        return len(set(of))
+
+    def pairs(**options):
+        return [p for b in cluster.led_pairs([batch], 11, rows=64, leaders=50, **options) for p in zip(b["a"].to_pylist(), b["b"].to_pylist(), strict=True)]
+
+    led, every = pairs(), pairs(whole=True)
+    assert set(every) <= similar and set(led) <= set(every) and len(every) < 2 * 900
+    assert parts(every) == parts(similar) < parts(led)
+
+
 def test_groups_past_the_leaders_are_found(spark):
     r = np.random.default_rng(5)
     g = np.repeat(np.arange(11), 20)
